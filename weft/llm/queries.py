@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup
+from weft.llm import chat_format, exact_dedup, mixing
 
 QUERIES: dict = {
+    "op3_mix_sources": mixing.op3,
     "op5_exact_dedup": exact_dedup.op5,
+    "op8_chat_format": chat_format.op8,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
 }
