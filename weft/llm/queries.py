@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, mixing, quality
+from weft.llm import chat_format, exact_dedup, mixing, piece_codec, quality
 
 QUERIES: dict = {
     "op3_mix_sources": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op5_exact_dedup": exact_dedup.op5,
+    "op6_piece_codec": piece_codec.op6,
     "op8_chat_format": chat_format.op8,
 }
 ORACLES: dict[str, str] = {
