@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, mixing, piece_codec, quality
+from weft.llm import chat_format, exact_dedup, mixing, piece_codec, quality, warc
 
 QUERIES: dict = {
     "op3_mix_sources": mixing.op3,
@@ -10,8 +10,10 @@ QUERIES: dict = {
     "op5_exact_dedup": exact_dedup.op5,
     "op6_piece_codec": piece_codec.op6,
     "op8_chat_format": chat_format.op8,
+    "op10_warc_zip": warc.op10,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
+    "op10_warc_zip": warc.OP10_SQL,
 }
