@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, mixing, piece_codec, quality, warc
+from weft.llm import chat_format, exact_dedup, language_id, mixing, piece_codec, quality, warc
 
 QUERIES: dict = {
+    "op2_language_mixture": language_id.op2,
     "op3_mix_sources": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op5_exact_dedup": exact_dedup.op5,
