@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, language_id, mixing, piece_codec, quality, warc
+from weft.llm import chat_format, exact_dedup, language_id, mixing, pii, piece_codec, quality, warc
 
 QUERIES: dict = {
     "op2_language_mixture": language_id.op2,
@@ -10,6 +10,7 @@ QUERIES: dict = {
     "op4_quality_rules": quality.op4,
     "op5_exact_dedup": exact_dedup.op5,
     "op6_piece_codec": piece_codec.op6,
+    "op7_pii": pii.op7,
     "op8_chat_format": chat_format.op8,
     "op10_warc_zip": warc.op10,
 }
