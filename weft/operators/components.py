@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = materialize(large, "large")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo"), F.col("m")))).alias("e"))
+        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         stars = materialize(small.select(F.col("e")["hi"].alias("hi"), F.col("e")["lo"].alias("lo")).where("hi <> lo").distinct(), "small")
         now = _mark(stars)
         if now == mark:
