@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, language_id, mixing, pii, piece_codec, quality, warc
+from weft.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, piece_codec, quality, warc
 
 QUERIES: dict = {
+    "op1_ngram_jaccard": ngram_join.op1,
     "op2_language_mixture": language_id.op2,
     "op3_mix_sources": mixing.op3,
     "op4_quality_rules": quality.op4,
