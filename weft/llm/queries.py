@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, pii, piece_codec, quality, warc
+from weft.llm import chat_format, exact_dedup, hmm_lm, language_id, mixing, ngram_join, pii, piece_codec, quality, warc
 
 QUERIES: dict = {
     "op1_ngram_jaccard": ngram_join.op1,
@@ -13,6 +13,7 @@ QUERIES: dict = {
     "op6_piece_codec": piece_codec.op6,
     "op7_pii": pii.op7,
     "op8_chat_format": chat_format.op8,
+    "op9_hmm_lm": hmm_lm.op9,
     "op10_warc_zip": warc.op10,
 }
 ORACLES: dict[str, str] = {
