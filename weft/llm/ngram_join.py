@@ -9,7 +9,8 @@ k - 1. What is indexed are the prefix's rare tokens and the pairs of its frequen
 Two linked sets thus share a signature, and no other pairs are looked at. Groups are hash classes; their
 number grows with the set's size in bands, and a set near the next band is indexed in both.
 
-Candidates are verified with the whole sets. Documents with equal sets are one from the start. Where
+The rare tokens that two prefixes have in common bound the intersection, which excludes most candidates
+whose sets only share a passage. The others are verified with the whole sets. Documents with equal sets are one from the start. Where
 many sets share a signature, each is compared with one of them first, and the links found make
 components; only sets of different components that share a signature are then compared with each
 other, so a large group of near copies costs its size and not its square, and no link between
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import OWN, table, text_or_empty, without
@@ -39,7 +40,7 @@ from weft.runtime import bound_batches, materialize, power_of_two, sized_broadca
 #: Words in a shingle; two sets link if PERCENT * |union| <= 100 * |intersection|, so a set may lose n // LOSS tokens.
 WORDS, PERCENT, LOSS = 5, 80, 5
 #: Documents from which a token is frequent, tokens of the frequent table, sets that the verification picks by a broadcast table.
-FREQUENT, MOST_FREQUENT, MOST_PICKED = 32, 2_000_000, 2_000_000
+FREQUENT, MOST_FREQUENT, MOST_PICKED = 16, 2_000_000, 2_000_000
 #: Bytes of text for one block, tokens held before blocks are written, sets in a list that are all compared at once.
 BLOCK_BYTES, FLUSH, SMALL_LIST = 16 << 20, 3_000_000, 3
 #: Rounds in which lists of several components are compared with one member, before all that remain are.
@@ -105,8 +106,8 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """What a set is indexed by: sorted distinct 64-bit numbers. frequent: which tokens are."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set is indexed by, 64-bit numbers, and how many of them, the first ones, are rare tokens. frequent: which tokens are."""
     n = len(tokens)
     need = n // LOSS + 1
     rare = tokens[~frequent][:need]
@@ -128,7 +129,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 if not same.any():
                     break
                 out.append(_mix(kept[:-d][same] * _C[0] + kept[d:][same] * _C[1] + np.uint64(band + 2) * _C[2]))
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out), len(rare)
 
 
 def _bands(n: int) -> list[int]:
@@ -173,32 +174,23 @@ def _within(x: np.ndarray, bits: int) -> np.ndarray:
     return ((x >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-PIECES = "doc_id long, n long, sid long, block int, piece binary"
-
-
-def _sets_and_tokens(bits: int):
-    """Rows of two kinds: doc_id, n and sid of each document; block and sorted tokens with counts."""
+def _token_pieces(bits: int):
+    """Blocks of sorted tokens with counts, each set of a partition once."""
 
     def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-        blocks, low = _block(tokens, bits), _within(tokens, bits)
-        cuts = _cuts(blocks)
-        packed = []
+        low, cuts, packed = _within(tokens, bits), _cuts(_block(tokens, bits)), []
         for _, own in cuts:
             more = np.flatnonzero(counts[own] > 1).astype(np.uint32)
             packed.append(_pack(low[own], more, counts[own][more].astype(np.uint32)))
-        none = pa.nulls(len(cuts), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "sid", "block", "piece"])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], ["block", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, seen = 0, set()
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist())
-            sids = [set_id(s) for s in sets]
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n", "sid", "block", "piece"])
-            for s, sid in zip(sets, sids, strict=True):
+            for s in shingle_sets(batch.column("text").to_pylist()):
+                sid = set_id(s)
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     held.append(s)
@@ -233,28 +225,41 @@ def _frequent_tokens(least: int):
     return run
 
 
-def _signature_pieces(bits: int, frequent: np.ndarray):
-    """Blocks of signatures with the sets that have them."""
+PIECES = "doc_id long, n long, sid long, block int, piece binary"
+
 
-    def pieces(sids: list[int], sizes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+def _signature_pieces(bits: int, frequent):
+    """Rows of two kinds: doc_id, n and sid of each document; blocks of signatures with the sets that have them.
+
+    A signature's lowest bit tells rare tokens (0) from pairs of frequent ones (1).
+    """
+    names = ["doc_id", "n", "sid", "block", "piece"]
+
+    def pieces(sids: list[int], sizes: list[tuple[int, int]], held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(held)
         owner = np.repeat(np.arange(len(held)), [len(s) for s in held])
+        is_pair = np.concatenate([np.arange(len(s)) >= rare for s, (_, rare) in zip(held, sizes, strict=True)])
         blocks = _block(every, bits)
         order = np.lexsort((owner, blocks))
-        every, owner, blocks = every[order], owner[order], blocks[order]
-        low, names, counts = _within(every, bits), np.array(sids, np.int64), np.array(sizes, np.uint32)
+        owner, blocks = owner[order], blocks[order]
+        low = (_within(every, bits) & np.uint32(0xFFFFFFFE) | is_pair.astype(np.uint32))[order]
+        ids, n = np.array(sids, np.int64), np.array(sizes, np.uint32)
         cuts, packed = _cuts(blocks), []
         for _, own in cuts:
             who, how_many = np.unique(owner[own], return_counts=True)
-            packed.append(_pack(names[who], counts[who], how_many.astype(np.uint32), low[own]))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], ["block", "piece"])
+            packed.append(_pack(ids[who], n[who, 0], n[who, 1], how_many.astype(np.uint32), low[own]))
+        none = pa.nulls(len(cuts), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         sids, sizes, held, size, seen = [], [], [], 0, set()
         for batch in batches:
-            for tokens in shingle_sets(batch.column("text").to_pylist()):
-                sid = set_id(tokens)
+            sets = shingle_sets(batch.column("text").to_pylist())
+            every = [set_id(s) for s in sets]
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(every, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            for tokens, sid in zip(sets, every, strict=True):
                 if len(tokens) < 2 or sid in seen:  # one token: equal sets only
                     continue
                 seen.add(sid)
@@ -263,10 +268,11 @@ def _signature_pieces(bits: int, frequent: np.ndarray):
                 is_frequent = np.zeros(len(tokens), bool)
                 inside = at < len(table)
                 is_frequent[inside] = table[at[inside]] == key[inside]
+                own, rare = signatures(tokens, is_frequent)
                 sids.append(sid)
-                sizes.append(len(tokens))
-                held.append(signatures(tokens, is_frequent))
-                size += len(held[-1])
+                sizes.append((len(tokens), rare))
+                held.append(own)
+                size += len(own)
             if size >= FLUSH:
                 yield pieces(sids, sizes, held)
                 sids, sizes, held, size = [], [], [], 0
@@ -281,51 +287,84 @@ def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(na, nb).astype(np.int64) >= PERCENT * np.maximum(na, nb).astype(np.int64)
 
 
-def _pairs_and_lists(group: pa.Table) -> pa.Table:
-    """Of a block: pairs (a < b) to verify, and the lists of sets with a common signature that are too long for all pairs."""
-    sigs, sids, sizes = [], [], []
-    for piece in group.column("piece"):
-        who, n, how_many, low = _unpack(piece.as_py(), "<i8", "<u4", "<u4", "<u4")
-        sigs.append(low)
-        sids.append(np.repeat(who, how_many))
-        sizes.append(np.repeat(n, how_many))
-    sig, sid, size = np.concatenate(sigs), np.concatenate(sids), np.concatenate(sizes)
-    order = np.lexsort((sid, sig))
-    sig, sid, size = sig[order], sid[order], size[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))  # a set comes once from each partition
-    sig, sid, size = sig[new], sid[new], size[new]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    length = np.diff(np.append(first, len(sig)))
-    a, b = [], []
-    for k in range(2, SMALL_LIST + 1):
-        at = first[length == k]
-        for i in range(k):
-            for j in range(i + 1, k):
-                fit = _fits(size[at + i], size[at + j])
-                a.append(sid[at + i][fit])
-                b.append(sid[at + j][fit])
-    lists: dict[bytes, bytes] = {}
-    for at, n in zip(first[length > SMALL_LIST], length[length > SMALL_LIST], strict=True):
-        own = slice(at, at + n)
-        name = sid[own].tobytes()
-        key = xxhash.xxh3_128_digest(name)
-        if key not in lists:
-            lists[key] = _pack(sid[own], size[own])
-            a.append(np.repeat(sid[at : at + 1], n - 1))  # the least set with each other; sizes are checked by verification
-            b.append(sid[at + 1 : at + n])
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-    else:
-        pairs = np.zeros((0, 2), np.int64)
-    n, m = len(pairs), len(lists)
-    return pa.table(
-        {
-            "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(m, pa.int64())]),
-            "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
-            "name": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists), pa.binary())]),
-            "list": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists.values()), pa.binary())]),
-        }
-    )
+CANDIDATES = "a long, b long, na long, ra long, nb long, rb long, common long, name binary, list binary"
+
+
+def _pairs_and_lists(least: int):
+    """Of a block: pairs of sets (a < b) with their sizes, rare tokens in their prefixes, and how many of those they have in
+    common here; and the lists of sets that share a pair of frequent tokens, where they are too long for all pairs.
+
+    A rare token is in at most `least` sets, so all pairs of these are looked at.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        sigs, sids, sizes, rares = [], [], [], []
+        for piece in group.column("piece"):
+            who, n, rare, how_many, low = _unpack(piece.as_py(), "<i8", "<u4", "<u4", "<u4", "<u4")
+            sigs.append(low)
+            sids.append(np.repeat(who, how_many))
+            sizes.append(np.repeat(n, how_many))
+            rares.append(np.repeat(rare, how_many))
+        sig, sid, size, rare = (np.concatenate(x) for x in (sigs, sids, sizes, rares))
+        order = np.lexsort((sid, sig))
+        sig, sid, size, rare = sig[order], sid[order], size[order], rare[order]
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))  # a set comes once from each partition
+        sig, sid, size, rare = sig[new], sid[new], size[new], rare[new]
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        length = np.diff(np.append(first, len(sig)))
+        is_pair = (sig[first] & 1).astype(bool)
+        a, b, common = [], [], []
+        for k in np.unique(length[length > 1]):
+            for of_pairs in (False, True):
+                at = first[(length == k) & (is_pair == of_pairs)]
+                if not len(at) or k > (SMALL_LIST if of_pairs else max(least, SMALL_LIST)):
+                    continue
+                for i in range(k - 1):
+                    x = np.repeat(at + i, k - 1 - i)
+                    y = (at[:, None] + np.arange(i + 1, k)[None, :]).ravel()
+                    fit = _fits(size[x], size[y])
+                    a.append(x[fit])
+                    b.append(y[fit])
+                    common.append(np.full(int(fit.sum()), 0 if of_pairs else 1))
+        lists: dict[bytes, bytes] = {}
+        longest = np.where(is_pair, SMALL_LIST, max(least, SMALL_LIST))
+        for at, n in zip(first[length > longest], length[length > longest], strict=True):
+            own = slice(at, at + n)
+            key = xxhash.xxh3_128_digest(sid[own].tobytes())
+            if key not in lists:
+                lists[key] = _pack(sid[own], size[own])
+                others = np.arange(at + 1, at + n)
+                others = others[_fits(size[others], np.full(n - 1, size[at]))]
+                a.append(np.full(len(others), at))
+                b.append(others)
+                common.append(np.zeros(len(others), np.int64))
+        x, y, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, common))
+        order = np.lexsort((sid[y], sid[x]))
+        x, y, c = x[order], y[order], c[order]
+        start = np.flatnonzero(np.concatenate(([True], (sid[x][1:] != sid[x][:-1]) | (sid[y][1:] != sid[y][:-1])))) if len(x) else x
+        c = np.add.reduceat(c, start) if len(x) else c
+        x, y = x[start], y[start]
+        n, m = len(x), len(lists)
+        numbers = {"a": sid[x], "b": sid[y], "na": size[x], "ra": rare[x], "nb": size[y], "rb": rare[y], "common": c}
+        columns = {k: pa.concat_arrays([pa.array(v.astype(np.int64)), pa.nulls(m, pa.int64())]) for k, v in numbers.items()}
+        columns["name"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists), pa.binary())])
+        columns["list"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists.values()), pa.binary())])
+        return pa.table(columns)
+
+    return run
+
+
+def _possible() -> Column:
+    """Whether a pair can link, by the rare tokens that its prefixes have in common.
+
+    A set whose prefix is all rare (`full`) has its common tokens among those, as far as they are below the other's last, and
+    beyond its prefix; one whose prefix isn't has all its rare tokens there. So the intersection is at most `common` and what
+    lies beyond the rare part: of the larger rest if both are full, of the full one if one is, of the smaller rest if none is.
+    """
+    full = [F.col(r) > F.floor(F.col(n) / LOSS) for n, r in (("na", "ra"), ("nb", "rb"))]
+    rest = [F.col(n) - F.col(r) for n, r in (("na", "ra"), ("nb", "rb"))]
+    beyond = F.when(full[0] & full[1], F.greatest(*rest)).when(full[0], rest[0]).when(full[1], rest[1]).otherwise(F.least(*rest))
+    return (100 + PERCENT) * (F.col("common") + beyond) >= PERCENT * (F.col("na") + F.col("nb"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +441,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     few = needed.limit(MOST_PICKED + 1).count() <= MOST_PICKED  # then a table of at most 16 MB
     picked = spark.sparkContext.broadcast(np.sort(needed.toArrow().column("sid").to_numpy())) if few else None
-    sets = materialize(texts.mapInArrow(_picked_sets(picked), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
+    sets = texts.mapInArrow(_picked_sets(picked), "sid long, tokens binary").dropDuplicates(["sid"])  # one exchange, used by both joins
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
@@ -423,10 +462,8 @@ def components(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = power_of_two(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size / BLOCK_BYTES))
     bits = min(30, blocks.bit_length() - 1)
-    pieces = materialize(texts.mapInArrow(_sets_and_tokens(bits), PIECES), "shingles")
-    names = pieces.where("sid IS NOT NULL").select("doc_id", "n", "sid")
-    tokens = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_frequent_tokens(FREQUENT), "token long, n long")
-    tokens = materialize(tokens, "tokens")
+    tokens = texts.mapInArrow(_token_pieces(bits), "block int, piece binary").groupBy("block")
+    tokens = materialize(tokens.applyInArrow(_frequent_tokens(FREQUENT), "token long, n long"), "tokens")
     by_size = tokens.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()  # at most 64 rows
     least, total = None, 0
     for row in by_size:
@@ -436,9 +473,13 @@ def components(docs: DataFrame) -> DataFrame:
         least = row["size"]
     kept = tokens.where(F.floor(F.log2("n")) >= least) if least is not None else tokens.limit(0)
     frequent = spark.sparkContext.broadcast(np.sort(kept.select("token").toArrow().column("token").to_numpy()).astype(np.uint64))
-    found = texts.mapInArrow(_signature_pieces(bits, frequent), "block int, piece binary").groupBy("block")
-    found = materialize(found.applyInArrow(_pairs_and_lists, "a long, b long, name binary, list binary"), "candidates")
-    pairs = materialize(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    rare = FREQUENT if total <= MOST_FREQUENT else 2 ** int(by_size[0]["size"] + 1 if least is None else least)
+    pieces = materialize(texts.mapInArrow(_signature_pieces(bits, frequent), PIECES), "signatures")
+    names = pieces.where("sid IS NOT NULL").select("doc_id", "n", "sid")
+    found = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_pairs_and_lists(rare), CANDIDATES)
+    found = materialize(found, "candidates")
+    pairs = found.where("a IS NOT NULL").groupBy("a", "b", "na", "ra", "nb", "rb").agg(F.sum("common").alias("common"))
+    pairs = materialize(pairs.where(_possible()).select("a", "b"), "pairs")
     links = materialize(_verified(texts, pairs), "links")
     lists = found.where("name IS NOT NULL").select("name", "list").dropDuplicates(["name"])
     members = materialize(lists.mapInArrow(_members, "name binary, sid long, n long"), "members")
