@@ -73,3 +73,43 @@ UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'contains',
 UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'calls', 'EXTRACTED', 'field', 1.0, 'sales/orders.py' FROM orders
 UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'uses', CASE l_returnflag WHEN 'R' THEN 'AMBIGUOUS' WHEN 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END, CASE l_linestatus WHEN 'F' THEN 'call' ELSE 'import' END, l_quantity, 'sales/orders.py' FROM lineitem
 UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'imports_from', CASE l_returnflag WHEN 'R' THEN 'AMBIGUOUS' WHEN 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END, CASE l_linestatus WHEN 'F' THEN 'call' ELSE 'import' END, l_quantity, 'catalog/part.md' FROM lineitem)"""
+
+
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node_id, community: nations with their customers, suppliers and orders, and parts by key."""
+    t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return (
+        t("nation").select(_key("nation", "n_nationkey").alias("node_id"), F.col("n_nationkey").cast("int").alias("community"))
+        .union(t("customer").select(_key("customer", "c_custkey"), F.col("c_nationkey").cast("int")))
+        .union(t("supplier").select(_key("supplier", "s_suppkey"), F.col("s_nationkey").cast("int")))
+        .union(orders.select(_key("order", "o_orderkey"), F.col("c_nationkey").cast("int")))
+        .union(t("part").select(_key("part", "p_partkey"), (F.col("p_partkey") % 25).cast("int")))
+    )
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, text: the documents under paths of many kinds."""
+    n = F.col("doc_id").cast("string")
+    kinds = [F.concat(*[n if p == "#" else F.lit(p) for p in parts]) for parts in FILE_PATHS]
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*kinds), (F.col("doc_id") % len(FILE_PATHS) + 1).cast("int")).alias("path"), "text")
+
+
+#: Paths of the documents, by doc_id modulo their number; "#" is the doc_id.
+FILE_PATHS = [
+    ("src/core/mod_", "#", ".py"), ("docs/guide/note_", "#", ".md"), ("web/src/view_", "#", ".tsx"), ("tests/unit/test_", "#", ".py"), ("secrets/deploy_", "#", ".yaml"), ("config/api_token_", "#", "_token.json"),
+    ("assets/img_", "#", ".png"), ("papers/p", "#", ".pdf"), ("lib/java/Item", "#", "Test.java"), ("bin/run_", "#"), ("media/talk", "#", ".mp4"), ("home/.ssh/key_", "#"), ("srv/handler_", "#", ".go"),
+    ("docs/token_economics_of_recall_", "#", ".md"), ("pkg/.env.example"[:8], "#", ".example"), ("Assets.xcassets/icon.imageset/i", "#", ".pdf"), ("certs/site", "#", ".pem"), ("office/plan_", "#", ".docx"),
+]
+COMMUNITIES_SQL = """communities AS (
+SELECT 'nation:' || n_nationkey AS node_id, n_nationkey AS community FROM nation
+UNION ALL SELECT 'customer:' || c_custkey, c_nationkey FROM customer
+UNION ALL SELECT 'supplier:' || s_suppkey, s_nationkey FROM supplier
+UNION ALL SELECT 'order:' || o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'part:' || p_partkey, (p_partkey % 25)::int FROM part)"""
+FILES_SQL = (
+    "files AS (SELECT doc_id, CASE doc_id % "
+    + str(len(FILE_PATHS))
+    + "".join(f" WHEN {i} THEN " + " || ".join("doc_id::varchar" if p == "#" else f"'{p}'" for p in parts) for i, parts in enumerate(FILE_PATHS))
+    + " END AS path, text FROM documents)"
+)
