@@ -161,7 +161,7 @@ def rationale_fold(spark, d):
     return kept.where("rationale IS NOT NULL").select("id", "rationale")
 
 
-@query("file_label_disambiguate", f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT regexp_replace(path, '[0-9]+', (doc_id % 40)::varchar) AS path FROM files), s AS (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS k FROM p),
+@query("file_label_disambiguate", f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT regexp_replace(path, '[0-9]+', (doc_id % 40)::varchar, 'g') AS path FROM files), s AS (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS k FROM p),
 x AS (SELECT path, k, array_to_string(string_split(path, '/')[-k:], '/') AS label FROM s), a AS (SELECT label, min(path) AS path, min(k) AS k FROM x GROUP BY label HAVING count(*) = 1) SELECT p.path, coalesce(arg_min(label, k), p.path) AS label FROM p LEFT JOIN a USING (path) GROUP BY p.path""")
 def file_label_disambiguate(spark, d):
     paths = files(spark, d).select(F.regexp_replace("path", F.lit("[0-9]+"), (F.col("doc_id") % 40).cast("string")).alias("path"))
