@@ -2,7 +2,7 @@
 
 Prefix filtering with token combinations. A token is a shingle's 64-bit hash. Tokens in more than
 FREQUENT documents are the frequent class, all others the rare class; the order of all tokens is rare
-before frequent, then by hash. A set of n tokens that links to another shares all but n // 5 of its
+before frequent, the frequent ones by the logarithm of their frequency, then by hash. A set of n tokens that links to another shares all but n // 5 of its
 tokens with it. So its prefix grows until, whichever n // 5 tokens are taken away, a rare token or two
 frequent tokens of one group are left: a rare token covers one loss, k frequent tokens of a group cover
 k - 1. What is indexed are the prefix's rare tokens and the pairs of its frequent tokens of one group.
@@ -106,15 +106,19 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """What a set is indexed by, 64-bit numbers, and how many of them, the first ones, are rare tokens. frequent: which tokens are."""
+def signatures(tokens: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set is indexed by, 64-bit numbers, and how many of them, the first ones, are rare tokens.
+
+    grade: 0 for rare tokens, else how frequent a token is; the prefix takes less frequent ones first.
+    """
     n = len(tokens)
     need = n // LOSS + 1
-    rare = tokens[~frequent][:need]
+    rare = tokens[grade == 0][:need]
     out = [_mix(rare ^ np.uint64(0x5851F42D4C957F2D))]
     need -= len(rare)
     if need > 0:
-        rest = tokens[frequent]
+        rest = tokens[grade > 0]
+        rest = rest[np.argsort(grade[grade > 0], kind="stable")]
         for band in _bands(n):
             groups = 4 * 8**band if band >= 0 else 1
             group = (rest % np.uint64(groups)).astype(np.int64)
@@ -128,7 +132,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
                 same = group[d:] == group[:-d]
                 if not same.any():
                     break
-                out.append(_mix(kept[:-d][same] * _C[0] + kept[d:][same] * _C[1] + np.uint64(band + 2) * _C[2]))
+                out.append(_mix(kept[:-d][same] * _C[0] + kept[d:][same] * _C[1] + np.full(1, band + 2, np.uint64) * _C[2]))
     return np.concatenate(out), len(rare)
 
 
@@ -252,7 +256,7 @@ def _signature_pieces(bits: int, frequent):
         return pa.RecordBatch.from_arrays([none, none, none, pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
+        table, grades = frequent.value
         sids, sizes, held, size, seen = [], [], [], 0, set()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
@@ -265,10 +269,11 @@ def _signature_pieces(bits: int, frequent):
                 seen.add(sid)
                 key = tokens >> np.uint64(32 - bits)
                 at = np.searchsorted(table, key)
-                is_frequent = np.zeros(len(tokens), bool)
                 inside = at < len(table)
-                is_frequent[inside] = table[at[inside]] == key[inside]
-                own, rare = signatures(tokens, is_frequent)
+                inside[inside] = table[at[inside]] == key[inside]
+                grade = np.zeros(len(tokens), np.uint8)
+                grade[inside] = grades[at[inside]]
+                own, rare = signatures(tokens, grade)
                 sids.append(sid)
                 sizes.append((len(tokens), rare))
                 held.append(own)
@@ -332,7 +337,7 @@ def _pairs_and_lists(least: int):
             own = slice(at, at + n)
             key = xxhash.xxh3_128_digest(sid[own].tobytes())
             if key not in lists:
-                lists[key] = _pack(sid[own], size[own])
+                lists[key] = _pack(sid[own], size[own], rare[own])
                 others = np.arange(at + 1, at + n)
                 others = others[_fits(size[others], np.full(n - 1, size[at]))]
                 a.append(np.full(len(others), at))
@@ -371,32 +376,42 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists, one row a member."""
     for batch in batches:
         for name, data in zip(batch.column("name"), batch.column("list"), strict=True):
-            sids, sizes = _unpack(data.as_py(), "<i8", "<u4")
+            sids, sizes, rares = _unpack(data.as_py(), "<i8", "<u4", "<u4")
             for at in range(0, len(sids), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(sids[part]), pa.binary()), pa.array(sids[part]), pa.array(sizes[part].astype(np.int64))], ["name", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(sids[part]), pa.binary()), pa.array(sids[part]), pa.array(sizes[part].astype(np.int64)), pa.array(rares[part].astype(np.int64))], ["name", "sid", "n", "r"])
+
+
+ACROSS = "a long, b long, na long, ra long, nb long, rb long"
 
 
 def _across(center: int | None):
-    """Pairs of a list's members of different components: all (None), or those with one member, another one each round."""
+    """Pairs of a list's members of different components: all (None), or those with one member, another one each round.
+
+    Pairs that can't link even if all their rare tokens were common are left out.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        sid, comp, n = (group.column(c).to_numpy() for c in ("sid", "component", "n"))
+        sid, comp, n, rare = (group.column(c).to_numpy() for c in ("sid", "component", "n", "r"))
         order = np.argsort(sid)
-        sid, comp, n = sid[order], comp[order], n[order]
-        a, b = [], []
+        sid, comp, n, rare = sid[order], comp[order], n[order], rare[order]
         if center is None:
-            for i in range(len(sid) - 1):
-                other = (comp[i + 1 :] != comp[i]) & _fits(n[i + 1 :], np.full(len(sid) - i - 1, n[i]))
-                a.append(np.full(int(other.sum()), sid[i]))
-                b.append(sid[i + 1 :][other])
+            chosen = range(len(sid) - 1)
         else:
-            names, where = np.unique(comp, return_index=True)
-            at = int(where[center % len(where)])
-            other = (comp != comp[at]) & _fits(n, np.full(len(sid), n[at]))
-            a.append(np.minimum(sid[other], sid[at]))
-            b.append(np.maximum(sid[other], sid[at]))
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+            where = np.unique(comp, return_index=True)[1]
+            chosen = [int(where[center % len(where)])]
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in chosen:
+            others = np.arange(i + 1, len(sid)) if center is None else np.arange(len(sid))
+            most = np.minimum(n[others], n[i])
+            both = np.minimum(rare[others], rare[i]) + np.minimum(n[others] - rare[others], n[i] - rare[i])
+            full = (rare[others] > n[others] // LOSS) | (rare[i] > n[i] // LOSS)
+            most = np.where(full, most, np.minimum(most, both))
+            others = others[(comp[others] != comp[i]) & ((100 + PERCENT) * most >= PERCENT * (n[others] + n[i]))]
+            x.append(np.minimum(others, i))
+            y.append(np.maximum(others, i))
+        x, y = np.concatenate(x), np.concatenate(y)
+        return pa.table({"a": pa.array(sid[x]), "b": pa.array(sid[y]), "na": pa.array(n[x]), "ra": pa.array(rare[x]), "nb": pa.array(n[y]), "rb": pa.array(rare[y])})
 
     return run
 
@@ -435,13 +450,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b; materialized) that link."""
+def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """sid and tokens of the sets that needed (sid) names, each once."""
     spark = texts.sparkSession
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     few = needed.limit(MOST_PICKED + 1).count() <= MOST_PICKED  # then a table of at most 16 MB
     picked = spark.sparkContext.broadcast(np.sort(needed.toArrow().column("sid").to_numpy())) if few else None
-    sets = texts.mapInArrow(_picked_sets(picked), "sid long, tokens binary").dropDuplicates(["sid"])  # one exchange, used by both joins
+    return materialize(texts.mapInArrow(_picked_sets(picked), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
@@ -472,34 +490,40 @@ def components(docs: DataFrame) -> DataFrame:
             break
         least = row["size"]
     kept = tokens.where(F.floor(F.log2("n")) >= least) if least is not None else tokens.limit(0)
-    frequent = spark.sparkContext.broadcast(np.sort(kept.select("token").toArrow().column("token").to_numpy()).astype(np.uint64))
+    kept = kept.select("token", "n").toArrow().sort_by("token")
+    grades = np.floor(np.log2(kept.column("n").to_numpy())).astype(np.uint8)
+    frequent = spark.sparkContext.broadcast((kept.column("token").to_numpy().astype(np.uint64), grades))
     rare = FREQUENT if total <= MOST_FREQUENT else 2 ** int(by_size[0]["size"] + 1 if least is None else least)
     pieces = materialize(texts.mapInArrow(_signature_pieces(bits, frequent), PIECES), "signatures")
     names = pieces.where("sid IS NOT NULL").select("doc_id", "n", "sid")
     found = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_pairs_and_lists(rare), CANDIDATES)
     found = materialize(found, "candidates")
-    pairs = found.where("a IS NOT NULL").groupBy("a", "b", "na", "ra", "nb", "rb").agg(F.sum("common").alias("common"))
-    pairs = materialize(pairs.where(_possible()).select("a", "b"), "pairs")
-    links = materialize(_verified(texts, pairs), "links")
+    common = found.where("a IS NOT NULL").groupBy("a", "b", "na", "ra", "nb", "rb").agg(F.sum("common").alias("common"))
+    common = materialize(common, "common")
+    pairs = common.where(_possible()).select("a", "b")
     lists = found.where("name IS NOT NULL").select("name", "list").dropDuplicates(["name"])
-    members = materialize(lists.mapInArrow(_members, "name binary, sid long, n long"), "members")
+    members = materialize(lists.mapInArrow(_members, "name binary, sid long, n long, r long"), "members")
+    needed = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct(), "needed")
+    sets = _sets(texts, needed)
+    links = materialize(_verified(sets, pairs), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
     done = pairs
     for turn in range(STAR_ROUNDS + 1):
-        named = members.join(component, members["sid"] == component["node"], "left").select("name", "sid", "n", F.coalesce("component", "sid").alias("component"))
+        named = members.join(component, members["sid"] == component["node"], "left").select("name", "sid", "n", "r", F.coalesce("component", "sid").alias("component"))
         several = named.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("name")
         members = materialize(named.join(several, "name", "left_semi"), "members")
         if members.isEmpty():
             break
-        across = members.groupBy("name").applyInArrow(_across(turn if turn < STAR_ROUNDS and _long(members) else None), "a long, b long").distinct()
-        last = not (turn < STAR_ROUNDS and _long(members))
+        star = turn < STAR_ROUNDS and _long(members)
+        across = members.groupBy("name").applyInArrow(_across(turn if star else None), ACROSS).distinct()
+        across = across.join(common.select("a", "b", "common"), ["a", "b"], "left").fillna(0, ["common"]).where(_possible()).select("a", "b")
         across = materialize(across.join(done, ["a", "b"], "left_anti"), "across")
-        more = materialize(_verified(texts, across), "links")
+        more = materialize(_verified(sets, across), "links")
         members = members.drop("component")
         if not more.isEmpty():
             links = links.union(more)
             component = materialize(connected_components(links, "a", "b"), "components")
-        if last:
+        if not star:
             break
         done = done.union(across)
     return _named(names, component)
