@@ -46,7 +46,7 @@ def test_exact_dedup(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[3])
     assert sorted(out, key=key) == sorted(want, key=key)
     kept = sorted(r["doc_id"] for r in got.where("kept").collect())
-    assert kept == [2, 3, 5, 7, 9, 10]
+    assert kept == [2, 3, 5, 7, 10]
     assert exact_dedup.drop_duplicates(docs).columns == docs.columns
     assert exact_dedup.annotate(docs.limit(0)).count() == 0
 

@@ -65,10 +65,10 @@ class ArchiveReader:
         if end < 0:
             raise ValueError("no end of a central directory")
         count, size, at = struct.unpack_from("<HII", tail, end + 10)
-        self.zip64 = 0xFFFF == count or 0xFFFFFFFF in (size, at)
+        self.zip64 = end >= 20 and tail[end - 20 : end - 16] == LOCATOR64
+        if not self.zip64 and (count == 0xFFFF or 0xFFFFFFFF in (size, at)):
+            raise ValueError("no ZIP64 locator")
         if self.zip64:
-            if tail[end - 20 : end - 16] != LOCATOR64:
-                raise ValueError("no ZIP64 locator")
             end64 = struct.unpack_from("<Q", tail, end - 12)[0]
             record = read_range(end64, 56)
             if record[:4] != END64:
