@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +21,28 @@ NOISE_DIRS = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "b
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), size, mtime, text, sha, kind, words and status of every file below root.
 
-    status: 'noise' (in a directory that is never scanned), 'sensitive', 'other' (no kind), or 'ok'.
+    status: 'noise' (in a directory that is never scanned), 'sensitive', 'other' (no kind), or 'ok'. Names, sizes and times
+    are listed on the driver, hidden files and those that begin with an underscore included; contents are read by the
+    executors, one file at a time.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^\\Q{prefix}/\\E", "")
-    text = F.decode("content", "UTF-8")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("text"), F.sha2("content", 256).alias("sha"))
+    uri = root if "://" in root else f"file://{root}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    top = top.rstrip("/")
+    found = [i for i in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if i.is_file]
+    listed = spark.createDataFrame([(i.path[len(top) + 1 :], i.size, i.mtime) for i in found], "path string, size long, mtime timestamp")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for at, path in enumerate(batch.column("path").to_pylist()):
+                with files.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+                    data = f.readall()
+                row = batch.slice(at, 1)
+                text = pa.array([data.decode("utf-8", "replace")])
+                yield pa.RecordBatch.from_arrays([*row.columns, text, pa.array([hashlib.sha256(data).hexdigest()])], ["path", "size", "mtime", "text", "sha"])
+
+    parts = max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = listed.repartition(parts).mapInArrow(read, "path string, size long, mtime timestamp, text string, sha string")
     noise = F.exists(T.parents(F.col("path")), lambda p: p.isin(*NOISE_DIRS))
     kind = T.classify_file(F.col("path"), F.col("text"))
     status = F.when(noise, "noise").when(T.is_sensitive(F.col("path")), "sensitive").when(kind.isNull(), "other").otherwise("ok")
@@ -52,12 +72,10 @@ def apply_ignores(files: DataFrame, patterns: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("above"), (k < F.size(parts)).alias("is_dir")))
     every = files.select("path").distinct().select("path", F.inline(ups))
-    below = F.when(F.col("base") == "", F.col("above")).otherwise(F.expr("substring(above, length(base) + 2)"))
     inside = (F.col("base") == "") | F.col("above").startswith(F.concat("base", F.lit("/")))
     hits = every.join(F.broadcast(patterns.limit(10_000)), inside & F.expr("rlike(CASE WHEN base = '' THEN above ELSE substring(above, length(base) + 2) END, regex)") & (~F.col("dirs_only") | F.col("is_dir")))
     verdict = hits.groupBy("path", "above").agg(F.max_by(~F.col("negated"), "place").alias("out"))
     out = verdict.groupBy("path").agg(F.bool_or("out").alias("_out"))
-    del below
     return files.join(out, "path", "left").withColumn("ignored", F.coalesce("_out", F.lit(False))).drop("_out")
 
 
