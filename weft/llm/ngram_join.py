@@ -521,14 +521,26 @@ def components(docs: DataFrame) -> DataFrame:
         more = materialize(_verified(sets, across), "links")
         members = members.drop("component")
         if not more.isEmpty():
-            links = links.union(more)
-            component = materialize(connected_components(links, "a", "b"), "components")
+            component = materialize(_joined(component, more), "components")
         if not star:
             break
         done = done.union(across)
     return _named(names, component)
 
 
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component) after further links (a, b): only the graph of the components that they tie is solved."""
+    known = component.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    ties = links
+    for end in ("a", "b"):
+        ties = ties.join(known, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_component", end)).drop("_node", "_component")
+    merged = materialize(connected_components(ties.where("a <> b").distinct(), "a", "b").select(F.col("node").alias("_old"), F.col("component").alias("_new")), "merged")
+    small = sized_broadcast(merged)
+    rows = component.join(small, F.col("component") == F.col("_old"), "left").select("node", F.coalesce("_new", "component").alias("component"))
+    fresh = merged.join(component.select(F.col("node").alias("_old")), "_old", "left_anti")
+    return rows.union(fresh.select("_old", "_new"))
+
+
 def _long(members: DataFrame) -> bool:
     """Whether all pairs within the lists would be many times their members."""
     by_list = members.groupBy("name").count()
