@@ -72,6 +72,8 @@ def test_readers(spark, tmp_path):
     assert {"A", ".go()", "helper()", "Guide", "Use", "a.py"} <= labels
     links = {(r["source"], r["target"], r["relation"]) for r in graph.edges.collect()}
     assert ("src_a_a_go", "src_b_helper", "calls") in links
+    evidence = {(r["source"], r["confidence"]) for r in graph.edges.where("relation = 'calls'").collect()}
+    assert evidence == {("src_a_a_go", "EXTRACTED")}
     assert "Best-connected" in graph.report()
     for path, text, want in (
         ("x.js", "class K extends L { run() {} }\nfunction foo() { bar(1) }", {"K", "foo()"}), ("x.go", "type T struct {}\nfunc (t T) Run(a int) {}", {"T", "Run()"}),

@@ -27,11 +27,11 @@ class Engine:
         found = files.scan(spark, root).where("status = 'ok'").select("path", "text")
         nodes, edges, calls = languages.graph_of(found)
         functions = nodes.where("label LIKE '%()'").select("id", "label", F.col("source_file").alias("file"))
-        imports = edges.where("relation = 'imports'").select(F.col("source_file").alias("file"), F.regexp_extract("target", "([a-z0-9]+)$", 1).alias("symbol"))
+        imports = edges.where("symbol IS NOT NULL").select(F.col("source_file").alias("file"), "symbol")
         calls = calls.withColumn("call_id", F.xxhash64("caller", "callee", "caller_file", "source_location"))
         solved = resolve.resolve_calls(calls, functions, imports)
         more = solved.select(F.col("caller").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"), "confidence", F.lit("call").alias("context")).distinct()
-        nodes, edges = build.build_graph(nodes, edges.drop("source_location").unionByName(more, allowMissingColumns=True))
+        nodes, edges = build.build_graph(nodes, edges.drop("source_location", "symbol").unionByName(more, allowMissingColumns=True))
         return cls(nodes, edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", "confidence", "weight", "source_file").withColumn("context", F.lit(None).cast("string")))
 
     @classmethod

@@ -45,9 +45,9 @@ class Facts:
             self.rows.append({"kind": "node", "id": id_, "label": label, "file_type": kind, "line": line})
         return id_
 
-    def edge(self, source: str, target: str, relation: str, line: int, context: str | None = None) -> None:
+    def edge(self, source: str, target: str, relation: str, line: int, context: str | None = None, symbol: str | None = None) -> None:
         if target:
-            self.rows.append({"kind": "edge", "source": source, "target": target, "relation": relation, "context": context, "line": line})
+            self.rows.append({"kind": "edge", "source": source, "target": target, "relation": relation, "context": context, "line": line, "label": symbol})
 
     def call(self, caller: str, callee: str, line: int) -> None:
         self.rows.append({"kind": "call", "source": caller, "label": callee, "line": line})
@@ -100,7 +100,7 @@ def read_python(path: str, text: str) -> list[dict]:
                 module = "." * x.level + (x.module or "")
                 f.edge(f.root, slug(module) or slug(path.rsplit("/", 1)[0]), "imports_from", x.lineno, "import")
                 for a in x.names:
-                    f.edge(f.root, slug(module, a.name), "imports", x.lineno, "import")
+                    f.edge(f.root, slug(module, a.name), "imports", x.lineno, "import", a.asname or a.name)
             elif isinstance(x, ast.If | ast.Try | ast.With | ast.For | ast.While):
                 walk([y for part in ("body", "orelse", "finalbody") for y in getattr(x, part, [])], owner, in_class)
             else:
@@ -340,6 +340,6 @@ def graph_of(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     facts = materialize(extract(files), "facts")
     location = F.concat(F.lit("L"), F.col("line").cast("string")).alias("source_location")
     nodes = facts.where("kind = 'node'").select("id", "label", "file_type", F.col("file").alias("source_file"), location)
-    edges = facts.where("kind = 'edge'").select("source", "target", "relation", F.lit("EXTRACTED").alias("confidence"), "context", F.col("file").alias("source_file"), location)
+    edges = facts.where("kind = 'edge'").select("source", "target", "relation", F.lit("EXTRACTED").alias("confidence"), "context", F.col("label").alias("symbol"), F.col("file").alias("source_file"), location)
     calls = facts.where("kind = 'call'").select(F.col("source").alias("caller"), F.col("label").alias("callee"), F.col("file").alias("caller_file"), location)
     return nodes, edges, calls
