@@ -11,8 +11,8 @@ number grows with the set's size in bands, and a set near the next band is index
 
 The rare tokens that two prefixes have in common bound the intersection, which excludes most candidates
 whose sets only share a passage. The others are verified with the whole sets. Documents with equal sets are one from the start. Where
-many sets share a signature, each is compared with one of them first, and the links found make
-components; only sets of different components that share a signature are then compared with each
+many sets share a signature, each is compared first with the one that has the fewest rare tokens, which
+is the likeliest to be what the others are copies of, and the links found make components; only sets of different components that share a signature are then compared with each
 other, so a large group of near copies costs its size and not its square, and no link between
 components is missed.
 
@@ -338,10 +338,11 @@ def _pairs_and_lists(least: int):
             key = xxhash.xxh3_128_digest(sid[own].tobytes())
             if key not in lists:
                 lists[key] = _pack(sid[own], size[own], rare[own])
-                others = np.arange(at + 1, at + n)
-                others = others[_fits(size[others], np.full(n - 1, size[at]))]
-                a.append(np.full(len(others), at))
-                b.append(others)
+                center = at + int(rare[own].argmin())
+                others = np.delete(np.arange(at, at + n), center - at)
+                others = others[_fits(size[others], np.full(n - 1, size[center]))]
+                a.append(np.minimum(others, center))
+                b.append(np.maximum(others, center))
                 common.append(np.zeros(len(others), np.int64))
         x, y, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, common))
         order = np.lexsort((sid[y], sid[x]))
@@ -398,7 +399,8 @@ def _across(center: int | None):
         if center is None:
             chosen = range(len(sid) - 1)
         else:
-            where = np.unique(comp, return_index=True)[1]
+            order = np.lexsort((rare, comp))
+            where = order[np.unique(comp[order], return_index=True)[1]]
             chosen = [int(where[center % len(where)])]
         x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in chosen:
