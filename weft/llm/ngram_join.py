@@ -120,7 +120,7 @@ def signatures(tokens: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, int]:
         rest = tokens[grade > 0]
         rest = rest[np.argsort(grade[grade > 0], kind="stable")]
         for band in _bands(n):
-            groups = 4 * 8**band if band >= 0 else 1
+            groups = 8 * 8**band if band >= 0 else 1
             group = (rest % np.uint64(groups)).astype(np.int64)
             first = np.zeros(len(rest), bool)
             first[np.unique(group, return_index=True)[1]] = True
