@@ -461,7 +461,9 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link. Only the sets that pairs names are moved, by one exchange that both joins use."""
+    needed = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "needed")
+    sets = sets.join(sized_broadcast(needed), "sid", "left_semi")
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
