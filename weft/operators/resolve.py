@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
@@ -24,28 +24,38 @@ def rewire_stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(known, F.col("target") == F.col("_stub"), "left").withColumn("target", F.coalesce("_real", "target")).drop("_stub", "_real")
 
 
-def common_depth(a: Column, b: Column) -> Column:
-    """How many leading directories two paths share."""
-    x, y = T.parents(a), T.parents(b)
-    n = F.least(F.size(x), F.size(y))
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0), lambda acc, i: F.when((acc == i) & (i < n) & (F.get(x, i) == F.get(y, i)), acc + 1).otherwise(acc))
+def _levels(path: Column) -> Column:
+    """rank and key of each level at which a function can be near path: its file, its directory, its leading directories."""
+    up = T.parents(path)
+    above = F.transform(F.sequence(F.lit(0), F.size(up)), lambda d: F.struct(d.alias("rank"), F.concat(F.lit("p"), d.cast("string"), F.lit(":"), F.array_join(F.slice(up, 1, d), "/")).alias("key")))
+    here = F.array(F.struct(F.lit(1_000_002).alias("rank"), F.concat(F.lit("f:"), path).alias("key")), F.struct(F.lit(1_000_001).alias("rank"), F.concat(F.lit("d:"), F.array_join(up, "/")).alias("key")))
+    return F.concat(here, above)
 
 
-def nearest(candidates: DataFrame, key: str) -> DataFrame:
-    """Of candidates (key, caller_file, id, file), the one that is nearest to the caller; none where two are equally near.
+def nearest(calls: DataFrame, functions: DataFrame, by: list[str]) -> DataFrame:
+    """calls with id: the function that is nearest to the caller's file; none where two are equally near.
 
-    Candidates outside tests come first if there are any; then the same file, the same directory, the longest common path.
+    calls: caller, caller_file and by. functions: id, file and by, the columns in which both agree; a caller isn't its own
+    candidate. Functions outside tests come first if there are any; then the same file, the same directory, the longest
+    common path. Candidates are counted by name and level before the join, so a name that many functions have adds no rows:
+    at the first level that has any, all that are counted there are equally near.
     """
-    test = T.is_test_path(F.col("file"))
-    near = (
-        F.when(F.col("file") == F.col("caller_file"), 1_000_002)
-        .when(F.array_join(T.parents(F.col("file")), "/") == F.array_join(T.parents(F.col("caller_file")), "/"), 1_000_001)
-        .otherwise(common_depth(F.col("file"), F.col("caller_file")))
-    )
-    best = candidates.withColumn("_rank", F.struct((~test).cast("int").alias("t"), near.alias("n")))
-    top = Window.partitionBy(key)
-    best = best.withColumn("_top", F.max("_rank").over(top)).where("_rank = _top")
-    return best.withColumn("_n", F.count(F.lit(1)).over(top)).where("_n = 1").drop("_rank", "_top", "_n")
+    at = functions.select(*by, "id", T.is_test_path(F.col("file")).cast("int").alias("_t"), F.inline(_levels(F.col("file"))))
+    level = [*by, "_t", "key"]
+    counts = at.groupBy(*level).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_least"), F.max("id").alias("_most"))
+    # a caller that has the name it calls is taken off the counts of its own levels
+    same = functions.select(*by, F.col("id").alias("caller")).distinct().withColumn("_self", F.col("caller"))
+    calls = calls.join(same, [*by, "caller"], "left")
+    sites = calls.select(*by, "caller_file", "_self").distinct()
+    own = at.join(sites.where("_self IS NOT NULL").select(*by, F.col("_self").alias("id")).distinct(), [*by, "id"], "left_semi")
+    own = own.groupBy(*level, F.col("id").alias("_self")).agg(F.count(F.lit(1)).alias("_k"))
+    tests = F.explode(F.array(F.lit(0), F.lit(1)))
+    looked = sites.select("*", F.inline(_levels(F.col("caller_file")))).withColumn("_t", tests)
+    left = looked.join(counts, level).join(own, [*level, "_self"], "left").withColumn("_n", F.col("_n") - F.coalesce("_k", F.lit(0)))
+    other = F.when(F.col("_least").eqNullSafe(F.col("_self")), F.col("_most")).otherwise(F.col("_least"))
+    best = left.where("_n > 0").groupBy(*by, "caller_file", "_self").agg(F.min_by(F.struct("_n", other.alias("id")), F.struct(F.col("_t"), -F.col("rank"))).alias("_best"))
+    best = best.where("_best._n = 1").select(*by, "caller_file", F.coalesce(F.concat(F.lit("="), "_self"), F.lit("")).alias("_own"), "_best.id")
+    return calls.withColumn("_own", F.coalesce(F.concat(F.lit("="), "_self"), F.lit(""))).join(best, [*by, "caller_file", "_own"]).drop("_self", "_own")
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -53,21 +63,15 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) ->
 
     calls: call_id, caller, callee, caller_file. functions: id, label, file. imports: file, symbol (what a file
     imports by name). A call resolves to the function of its name and language family that is the only one, else the
-    only one imported, else the nearest. With an import as evidence it is EXTRACTED (1.0), else INFERRED (0.8), and
-    in JavaScript dropped.
+    nearest. With an import as evidence it is EXTRACTED (1.0), else INFERRED (0.8), and in JavaScript dropped.
     """
     index = functions.select("id", T.bare_name(F.col("label")).alias("_name"), "file", T.language_family(F.col("file")).alias("_family"))
-    rows = calls.withColumn("_name", T.bare_name(F.col("callee"))).withColumn("_family", T.language_family(F.col("caller_file")))
-    # pairs of call and candidate; names that very many functions have are cut down by the join with family
-    found = rows.join(index, ["_name", "_family"]).where("id <> caller")
+    rows = calls.where("caller IS NOT NULL").withColumn("_name", T.bare_name(F.col("callee"))).withColumn("_family", T.language_family(F.col("caller_file")))
+    found = nearest(rows, index, ["_name", "_family"])
     known = imports.select(F.col("file").alias("_importer"), T.bare_name(F.col("symbol")).alias("_symbol")).distinct()
     found = found.join(known, (F.col("caller_file") == F.col("_importer")) & (F.col("_name") == F.col("_symbol")), "left")
     found = found.withColumn("_imported", F.col("_symbol").isNotNull())
-    per_call = Window.partitionBy("call_id")
-    found = found.withColumn("_n", F.count(F.lit(1)).over(per_call))
-    single = found.where("_n = 1").select("call_id", "caller", "id", "caller_file", "_imported")
-    near = nearest(found.where("_n > 1").select("call_id", "caller", "caller_file", "id", "file", "_imported"), "call_id").select("call_id", "caller", "id", "caller_file", "_imported")
-    chosen = single.union(near).where(F.col("_imported") | ~T.language_family(F.col("caller_file")).eqNullSafe(F.lit("js")))
+    chosen = found.where(F.col("_imported") | ~F.col("_family").eqNullSafe(F.lit("js")))
     return chosen.select("call_id", "caller", "id", F.when(F.col("_imported"), "EXTRACTED").otherwise("INFERRED").alias("confidence"), F.when(F.col("_imported"), 1.0).otherwise(0.8).alias("score"))
 
 

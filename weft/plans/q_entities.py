@@ -79,7 +79,7 @@ def _functions(spark, d):
     k, brand = F.col("p_partkey") % 4, F.lower("p_brand")
     area = F.when(F.col("p_size") % 3 == 0, "building").when(F.col("p_size") % 3 == 1, "machinery").otherwise("tests")
     file = F.when(k == 0, F.concat(F.lit("sales/"), area, F.lit("/"), brand, F.lit(".py"))).when(k == 1, F.concat(F.lit("lib/"), brand, F.lit(".py"))).when(k == 2, F.concat(F.lit("web/"), brand, F.lit(".ts"))).otherwise(F.concat(F.lit("sales/tests/t"), F.col("p_size").cast("string"), F.lit(".py")))
-    return table(spark, d, "part").where("p_partkey % 10 = 3").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit("()")).alias("label"), file.alias("file"))
+    return table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit("()")).alias("label"), file.alias("file"))
 
 
 def _imports(spark, d):
@@ -102,8 +102,7 @@ def raw_call_resolution(spark, d):
 @query("proximity_tiebreak", f"""WITH {_CAND}, r AS (SELECT *, max((t, near)) OVER (PARTITION BY call_id) AS top FROM cand), k AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS m FROM r WHERE (t, near) = top) SELECT call_id, id FROM k WHERE m = 1""")
 def proximity_tiebreak(spark, d):
     f = _functions(spark, d).where(F.col("file").endswith(".py")).withColumn("name", T.bare_name(F.col("label")))
-    cand = _calls(spark, d).withColumn("name", T.bare_name(F.col("callee"))).join(f, "name")
-    return R.nearest(cand, "call_id").select("call_id", "id")
+    return R.nearest(_calls(spark, d).withColumn("name", T.bare_name(F.col("callee"))), f, ["name"]).select("call_id", "id")
 
 
 @query("import_guided_calls", f"""WITH {_CALLS}, fm AS (SELECT module, name, min(id) AS id FROM (SELECT 'part:' || p_partkey AS id, lower(p_name) AS name, lower(p_brand) AS module FROM part) GROUP BY ALL HAVING count(*) = 1),
