@@ -48,3 +48,9 @@ def test_nearest_of_hot_names(spark):
     df = spark.createDataFrame(calls, "call_id long, caller string, callee string, caller_file string")
     got = resolve.resolve_calls(df, spark.createDataFrame(functions, "id string, label string, file string"), spark.createDataFrame([], "file string, symbol string"))
     assert sorted((x["call_id"], x["id"]) for x in got.collect()) == want
+
+
+def test_cypher_escape_takes_whole_texts(spark, duck):
+    whole = __spark_entry__.oracle_sql()["cypher_escape"].replace("substr(text, 1, 200)", "text")
+    got = sorted(map(tuple, __spark_entry__.queries()["cypher_escape"](spark, SF).collect()))
+    assert max(len(x[1]) for x in got) > 1000 and got == sorted(duck.execute(whole).fetchall())

@@ -145,7 +145,7 @@ def html_to_text(spark, d):
 
 @query("cypher_escape", "SELECT doc_id, replace(replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\', '\\\\'), '''', '\\''') AS literal FROM documents")
 def cypher_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.cypher_string(F.substring("text", 1, 200)).alias("literal"))
+    return table(spark, d, "documents").select("doc_id", T.cypher_string(F.col("text")).alias("literal"))
 
 
 @query("yaml_escape", """SELECT doc_id, '"' || regexp_replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), '[\\r\\n\\t]+', ' ', 'g') || '"' AS scalar FROM documents""")
