@@ -7,8 +7,10 @@ import random
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from weft.operators import resolve
+from weft.operators import entities, resolve
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +56,23 @@ def test_cypher_escape_takes_whole_texts(spark, duck):
     whole = __spark_entry__.oracle_sql()["cypher_escape"].replace("substr(text, 1, 200)", "text")
     got = sorted(map(tuple, __spark_entry__.queries()["cypher_escape"](spark, SF).collect()))
     assert max(len(x[1]) for x in got) > 1000 and got == sorted(duck.execute(whole).fetchall())
+
+
+def test_long_buckets_lose_no_pair(spark):
+    text = "a graph of files and functions with their calls and imports and what the documents say about all of them"
+    labels = [(f"n{i:03}", f"{text} {i % 40} {'xyz'[i % 3]}{'uvw'[i % 7 % 3]}") for i in range(130)]
+    df = spark.createDataFrame(labels, "id string, norm string")
+    signatures = {r["id"]: r["s"] for r in df.select("id", entities.minhash(F.col("norm")).alias("s")).collect()}
+    k = entities.ROWS
+    agree = lambda a, b: any(signatures[a][i : i + k] == signatures[b][i : i + k] for i in range(0, k * entities.BANDS, k))
+    want = [(a, b) for a, _ in labels for b, _ in labels if a < b and agree(a, b)]
+    assert len(want) > 130 * 50
+    assert sorted(map(tuple, entities.lsh_pairs(df).collect())) == want
+    nodes = df.select("id", F.col("norm").alias("label"), F.lit("concept").alias("file_type"), F.concat("id", F.lit(".md")).alias("source_file"))
+    one = {}
+    for i, label in labels:
+        one.setdefault(label, i)
+    pairs = [(a, b, x, y, f"{a}.md", f"{b}.md") for x, a in one.items() for y, b in one.items() if a < b and agree(a, b)]
+    merging = entities.scored(spark.createDataFrame(pairs, "a string, b string, na string, nb string, fa string, fb string")).where("merges")
+    got = sorted((r["a"], r["b"]) for r in entities.fuzzy_pairs(nodes).collect())
+    assert got and got == sorted((r["a"], r["b"]) for r in merging.collect())

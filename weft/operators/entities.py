@@ -14,8 +14,8 @@ from weft.runtime import materialize
 ENTROPY, MERGE, BANDS, ROWS = 2.5, 92.0, 14, 9
 #: Labels shorter than this merge only if they are of one length and one edit apart, from this score.
 SHORT, SHORT_MERGE, BOOST = 12, 97.0, 5.0
-#: A band value in more labels than this pairs each with its least label only; components close the gaps.
-LONG_BUCKET = 50
+#: Labels of a band value in one block; those of a longer bucket are compared block by block, so that no task holds them all.
+BLOCK = 50
 
 
 def minhash(label: Column, permutations: int = BANDS * ROWS) -> Column:
@@ -24,17 +24,20 @@ def minhash(label: Column, permutations: int = BANDS * ROWS) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.array_min(F.transform(pieces, lambda s: F.xxhash64(s, i))))
 
 
-def lsh_pairs(labels: DataFrame) -> DataFrame:
-    """a < b of labels (id, norm) that agree in all rows of a band."""
+def lsh_pairs(labels: DataFrame, split: Column | None = None) -> DataFrame:
+    """a < b of all labels (id, norm) that agree in all rows of a band, and in split if there is one.
+
+    Every pair of a bucket is listed, so the rows grow with the square of the largest bucket (of one split).
+    """
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.array_join(F.transform(F.slice(F.col("_sig"), b * ROWS + 1, ROWS), lambda h: h.cast("string")), ",")).alias("value")))
-    rows = labels.withColumn("_sig", minhash(F.col("norm"))).select("id", F.inline(bands))
-    sizes = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    rows = materialize(rows.join(sizes, ["band", "value"]), "bands")
-    small = rows.where(F.col("n") <= LONG_BUCKET)
-    x, y = small.select("band", "value", F.col("id").alias("a")), small.select("band", "value", F.col("id").alias("b"))
-    pairs = x.join(y, ["band", "value"]).where("a < b").select("a", "b")
-    stars = rows.where((F.col("n") > LONG_BUCKET) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return pairs.union(stars).distinct()
+    bucket = ["band", "value", "split"]
+    rows = labels.withColumn("_sig", minhash(F.col("norm"))).withColumn("split", F.lit("") if split is None else split).select("id", "split", F.inline(bands))
+    sizes = rows.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = materialize(rows.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "bands")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = rows.withColumn("other", other).select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id")
+    x, y = cells.withColumnsRenamed({"id": "a", "block": "p"}), cells.withColumnsRenamed({"id": "b", "block": "q"})
+    return x.join(y, [*bucket, "i", "j"]).where("a < b AND (i = j OR p <> q)").select("a", "b").distinct()
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -85,7 +88,7 @@ def fuzzy_pairs(nodes: DataFrame) -> DataFrame:
     named = nodes.where("file_type <> 'code'").withColumn("norm", T.norm_label(F.col("label"))).where("norm <> ''")
     labels = named.groupBy("norm").agg(F.min_by(F.struct("id", "source_file"), "id").alias("n")).where(T.entropy_bits(F.col("norm")) >= ENTROPY)
     labels = materialize(labels.select("n.id", "norm", F.col("n.source_file").alias("file")), "labels")
-    pairs = lsh_pairs(labels)
+    pairs = lsh_pairs(labels, digits(F.col("norm")))
     left = labels.select(F.col("id").alias("a"), F.col("norm").alias("na"), F.col("file").alias("fa"))
     right = labels.select(F.col("id").alias("b"), F.col("norm").alias("nb"), F.col("file").alias("fb"))
     return scored(pairs.join(left, "a").join(right, "b")).where("merges").select("a", "b", "score")
