@@ -76,3 +76,25 @@ def test_long_buckets_lose_no_pair(spark):
     merging = entities.scored(spark.createDataFrame(pairs, "a string, b string, na string, nb string, fa string, fb string")).where("merges")
     got = sorted((r["a"], r["b"]) for r in entities.fuzzy_pairs(nodes).collect())
     assert got and got == sorted((r["a"], r["b"]) for r in merging.collect())
+
+
+@pytest.mark.parametrize("name", ["jaro_score", "jaro_winkler_score", "fuzzy_pairs_guarded"])
+def test_labels_are_compared_across_first_words(spark, duck, name):
+    whole = __spark_entry__.oracle_sql()[name].replace("split_part(a.norm, ' ', 1) = split_part(b.norm, ' ', 1) AND ", "")
+    rows = lambda found: sorted((a, b, round(float(s), 6)) for a, b, s in found)
+    got, want = rows(__spark_entry__.queries()[name](spark, SF).collect()), rows(duck.execute(whole).fetchall())
+    if name != "fuzzy_pairs_guarded":
+        assert any(a.split()[0] != b.split()[0] for a, b, _ in got)
+    assert got and got == want
+
+
+def test_labels_differing_in_the_first_word_merge(spark, tmp_path):
+    types = ["STANDARD", "STANDRAD", "STANDARDS", "ECONOMY", "ECONMOY", "PROMO"]
+    parts = [(i, t, n, "Brand#1", 1) for i, (t, n) in enumerate((t, n) for t in types for n in ("blue widget", "red ring"))]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["na"], r["nb"]) for r in __spark_entry__.queries()["fuzzy_pairs_guarded"](spark, str(tmp_path)).collect()}
+    names = sorted(f"{t} {n}".lower() for _, t, n, _, _ in parts)
+    file = {f"{t} {n}".lower(): f"f{k % 3}.md" for k, t, n, _, _ in parts}
+    pairs = spark.createDataFrame([(a, b, file[a], file[b]) for a in names for b in names if a < b], "na string, nb string, fa string, fb string")
+    want = {(r["na"], r["nb"]) for r in entities.scored(pairs).where("merges").collect()}
+    assert ("standard blue widget", "standrad blue widget") in got and got == want

@@ -50,6 +50,14 @@ def digits(value: Column) -> Column:
     return F.array_join(F.array_sort(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))), ",")
 
 
+def may_merge(a: Column, b: Column) -> Column:
+    """False only for labels that can't merge: other digits, or lengths too far apart for the score.
+
+    A score of 92 needs a Jaro similarity of 13/15 even with four equal first letters, and that lengths in proportion 3:5.
+    """
+    return (digits(a) == digits(b)) & (F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * 0.59)
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """pairs (na, nb: normalised labels; fa, fb: files) with score and merges.
 

@@ -22,11 +22,11 @@ _LABELS = "lb AS (SELECT lower(p_type || ' ' || p_name) AS norm, 'f' || (min(p_p
 _PAIRS = "pp AS (SELECT a.norm AS na, b.norm AS nb, a.file AS fa, b.file AS fb FROM lb a JOIN lb b ON split_part(a.norm, ' ', 1) = split_part(b.norm, ' ', 1) AND a.norm < b.norm)"
 
 
-def _label_pairs(spark, d):
-    """Pairs of labels that begin with the same word, of which there are few."""
-    n = labels(spark, d).select(T.norm_label(F.col("label")).alias("n"), F.col("source_file").alias("f")).withColumn("w", F.substring_index("n", " ", 1))
-    a, b = n.select("w", F.col("n").alias("na"), F.col("f").alias("fa")), n.select("w", F.col("n").alias("nb"), F.col("f").alias("fb"))
-    return a.join(b, "w").where("na < nb").select("na", "nb", "fa", "fb")
+def _label_pairs(spark, d, near=None):
+    """All pairs of labels, or those that near, a condition that loses none that count, leaves."""
+    n = labels(spark, d).select(T.norm_label(F.col("label")).alias("n"), F.col("source_file").alias("f"))
+    a, b = n.select(F.col("n").alias("na"), F.col("f").alias("fa")), n.select(F.col("n").alias("nb"), F.col("f").alias("fb"))
+    return a.join(b, F.col("na") < F.col("nb") if near is None else (F.col("na") < F.col("nb")) & near)
 
 
 @query("jaro_score", f"WITH {_LABELS}, {_PAIRS} SELECT na, nb, round(jaro_similarity(na, nb), 9) AS score FROM pp")
@@ -42,7 +42,7 @@ def jaro_winkler_score(spark, d):
 @query("fuzzy_pairs_guarded", f"""WITH {_LABELS}, {_PAIRS}, s AS (SELECT *, 100 * CASE WHEN fa <> fb AND greatest(length(na), length(nb)) >= 12 THEN jaro_similarity(na, nb) ELSE jaro_winkler_similarity(na, nb) END AS score FROM pp)
 SELECT na, nb, round(score, 6) AS score FROM s WHERE score >= 92 AND (greatest(length(na), length(nb)) >= 12 OR (score >= 97 AND length(na) = length(nb) AND damerau_levenshtein(na, nb) <= 1)) AND NOT (length(na) <> length(nb) AND (starts_with(na, nb) OR starts_with(nb, na)))""")
 def fuzzy_pairs_guarded(spark, d):
-    return E.scored(_label_pairs(spark, d)).where("merges").select("na", "nb", F.round("score", 6).alias("score"))
+    return E.scored(_label_pairs(spark, d, E.may_merge(F.col("na"), F.col("nb")))).where("merges").select("na", "nb", F.round("score", 6).alias("score"))
 
 
 @query("exact_entities", f"""WITH {NODES_SQL}, n AS (SELECT id, file_type, source_file, trim(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM nodes WHERE file_type <> 'code'),
