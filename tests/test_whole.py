@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from weft.engine import Engine
 from weft.operators import entities, resolve
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +99,21 @@ def test_labels_differing_in_the_first_word_merge(spark, tmp_path):
     pairs = spark.createDataFrame([(a, b, file[a], file[b]) for a in names for b in names if a < b], "na string, nb string, fa string, fb string")
     want = {(r["na"], r["nb"]) for r in entities.scored(pairs).where("merges").collect()}
     assert ("standard blue widget", "standrad blue widget") in got and got == want
+
+
+def test_questions_name_bridges(spark):
+    names = [f"{g}{i}" for g in "ab" for i in range(5)]
+    links = [(x, y) for x in names for y in names if x < y and x[0] == y[0]] + [("a0", "b0")]
+    nodes = spark.createDataFrame([(n, n, "code", f"{n}.py") for n in names], "id string, label string, file_type string, source_file string")
+    edges = spark.createDataFrame([(*e, "calls", "EXTRACTED") for e in links], "source string, target string, relation string, confidence string")
+    got = {(r["type"], r["about"]) for r in Engine(nodes, edges).questions().collect()}
+    assert {about for kind, about in got if kind == "bridge_node"} == {"a0", "b0"}
+
+
+def test_centrality_and_communities_take_every_edge(spark):
+    query = __spark_entry__.queries()
+    scores = {r["id"]: r["score"] for r in query["betweenness"](spark, SF).collect()}
+    kinds = {i.split(":")[0] for i, score in scores.items() if score > 0}
+    assert kinds >= {"customer", "part", "order", "nation"}
+    sizes = query["communities"](spark, SF).where("node_id LIKE 'part:%'").groupBy("community").count()
+    assert sizes.where("count > 1").count() > 0

@@ -92,7 +92,13 @@ def suggest_questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame
     """The first n questions by kind, then by what they are about; a row of type no_signal where there are none."""
     kinds = [ambiguous_questions(nodes, edges), verify_questions(nodes, edges), isolated_questions(nodes, edges), low_cohesion_questions(edges, communities)]
     if between is not None:
-        named = between.where("score > 0").join(nodes.select("id", "label"), "id").orderBy(F.desc("score"), "id").limit(3)
+        entities = D.with_degree(nodes, edges).where(~D.is_file_node() & ~D.is_concept_node()).select("id", "label")
+        named = between.where("score > 0").join(entities, "id").orderBy(F.desc("score"), "id").limit(3)
+        links = D.pairs(edges)
+        links = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+        at = lambda node, name: communities.select(F.col("node_id").alias(node), F.col("community").alias(name))
+        across = links.join(at("id", "_c1"), "id", "left").join(at("other", "_c2"), "other", "left").where("NOT _c1 <=> _c2").select("id")
+        named = named.join(across, "id", "left_semi")
         bridge = named.select(F.lit("bridge_node"), F.concat(F.lit("Why does `"), "label", F.lit("` connect so much of the graph?")), "id")
         kinds.insert(1, bridge)
     found = None

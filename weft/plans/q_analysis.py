@@ -60,13 +60,13 @@ def questions_verify_inferred(spark, d):
 
 @query("suggest_questions")
 def suggest_questions(spark, d):
-    return A.suggest_questions(nodes(spark, d), edges(spark, d), communities(spark, d))
+    n, e = nodes(spark, d), edges(spark, d)
+    return A.suggest_questions(n, e, communities(spark, d), between=C.betweenness(n, e))
 
 
 @query("communities")
 def detect(spark, d):
-    e = edges(spark, d).where("relation IN ('calls', 'references', 'contains')")
-    return C.detect(nodes(spark, d), e)
+    return C.detect(nodes(spark, d), edges(spark, d))
 
 
 _MOVED = "CASE WHEN right(node_id, 1) = '3' THEN (community + 1) % 25 ELSE community END + 100"
@@ -93,6 +93,4 @@ def hub_reattach(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    n = nodes(spark, d).where("id LIKE 'region:%' OR id LIKE 'nation:%' OR id LIKE 'supplier:%'")
-    e = edges(spark, d).where("relation IN ('references', 'contains') AND source NOT LIKE 'customer:%'")
-    return C.betweenness(n, e).withColumn("score", F.round("score", 9))
+    return C.betweenness(nodes(spark, d), edges(spark, d)).withColumn("score", F.round("score", 9))
