@@ -117,3 +117,11 @@ def test_centrality_and_communities_take_every_edge(spark):
     assert kinds >= {"customer", "part", "order", "nation"}
     sizes = query["communities"](spark, SF).where("node_id LIKE 'part:%'").groupBy("community").count()
     assert sizes.where("count > 1").count() > 0
+
+
+def test_import_cycles_take_every_part(spark, duck):
+    whole = __spark_entry__.oracle_sql()["import_cycles"].replace(" WHERE a.p_size < 4 AND b.p_size < 4", "").replace("len(path) < 5", "len(path) < 2")
+    got = [tuple(r) for r in __spark_entry__.queries()["import_cycles"](spark, SF).collect()]
+    want = duck.execute(whole).fetchall()
+    # 20 cycles of up to two files come before all longer ones
+    assert len(want) == 20 and got == want

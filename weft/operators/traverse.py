@@ -191,7 +191,7 @@ def import_cycles(files: DataFrame, most: int = 5, n: int = 20) -> DataFrame:
     """cycle (files joined by ' -> ', the least first) and length of simple cycles of up to most files, n of them.
 
     files: source and target file of each import. A cycle is found once, from its least file: a path only
-    goes on to files greater than that.
+    goes on to files greater than that. Shorter cycles come first, so paths aren't extended once n are found.
     """
     links = materialize(files.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct(), "imports")
     paths = links.where("target >= source").select(F.col("source").alias("first"), F.col("target").alias("last"), F.array("source", "target").alias("path"))
@@ -199,6 +199,10 @@ def import_cycles(files: DataFrame, most: int = 5, n: int = 20) -> DataFrame:
     paths = paths.where("first <> last")
     step = links.select(F.col("source").alias("s"), F.col("target").alias("t"))
     for _ in range(2, most + 1):
+        loops = materialize(loops, "cycles")
+        if loops.limit(n).count() == n:
+            break
+        paths = materialize(paths, "paths")
         onward = paths.join(step, F.col("last") == F.col("s"))
         loops = loops.union(onward.where("t = first").select("path"))
         paths = onward.where("t > first AND NOT array_contains(path, t)").select("first", F.col("t").alias("last"), F.concat("path", F.array("t")).alias("path"))

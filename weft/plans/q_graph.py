@@ -140,7 +140,7 @@ _BRANDS = "imp AS (SELECT DISTINCT a.p_brand AS source, b.p_brand AS target FROM
 @query("import_cycles", f"""WITH RECURSIVE {_BRANDS}, p AS (SELECT source AS first, target AS last, [source, target] AS path FROM imp WHERE target > source UNION ALL SELECT first, target, list_append(path, target) FROM p JOIN imp ON last = source WHERE target > first AND NOT list_contains(path, target) AND len(path) < 5)
 SELECT cycle, length FROM (SELECT array_to_string(path, ' -> ') AS cycle, len(path)::int AS length FROM p JOIN imp ON last = source AND target = first UNION ALL SELECT source, 1 FROM imp WHERE source = target) ORDER BY length, cycle LIMIT 20""")
 def import_cycles(spark, d):
-    line, part = table(spark, d, "lineitem"), table(spark, d, "part").where("p_size < 4")
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     x = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("p_brand").alias("source"))
     y = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("p_brand").alias("target"))
     return W.import_cycles(x.join(y, ["l_orderkey", "n"]))
