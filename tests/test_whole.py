@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from weft.engine import Engine
 from weft.operators import entities, resolve
+from weft.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +126,30 @@ def test_import_cycles_take_every_part(spark, duck):
     want = duck.execute(whole).fetchall()
     # 20 cycles of up to two files come before all longer ones
     assert len(want) == 20 and got == want
+
+
+@pytest.mark.parametrize(
+    ("name", "cut"),
+    [("read_graph_json", " WHERE starts_with(id, 'nation:') OR starts_with(id, 'region:')"), ("cypher_script", " WHERE relation <> 'uses'"), ("graphml", " WHERE relation = 'calls'"), ("vault_notes", " WHERE NOT starts_with(id, 'order:')")],
+)
+def test_sinks_take_whole_graphs(spark, duck, name, cut):
+    whole = __spark_entry__.oracle_sql()[name].replace(cut, "")
+    got = sorted(map(tuple, __spark_entry__.queries()[name](spark, SF).collect()))
+    assert got == sorted(duck.execute(whole).fetchall())
+
+
+def test_facts_of_all_kinds(spark):
+    found = {r["file"].rsplit(".", 1)[-1] for r in __spark_entry__.queries()["extract_facts"](spark, SF).select("file").collect()}
+    assert found >= {"py", "md", "json"}
+
+
+def test_hubs_keep_links_and_trees_keep_rules(spark):
+    names = ["hub", *[f"n{i:03}" for i in range(250)]]
+    nodes = spark.createDataFrame([(n, n, "code", "x.py") for n in names], "id string, label string, file_type string, source_file string")
+    edges = spark.createDataFrame([("hub", n, "calls") for n in names[1:]], "source string, target string, relation string")
+    body = sinks.notes(nodes, edges).where("name LIKE 'hub %'").first()["body"]
+    assert body.count("[[") == 250
+    rules = [("", f"^f{i}$", False, False, i) for i in range(10_500)] + [("", "^f3$", True, False, 10_500)]
+    patterns = spark.createDataFrame(rules, "base string, regex string, negated boolean, dirs_only boolean, place int")
+    got = files.apply_ignores(spark.createDataFrame([("f3",), ("f10400",)], "path string"), patterns)
+    assert dict(map(tuple, got.collect())) == {"f3": False, "f10400": True}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.runtime import materialize, sized_broadcast
 
 #: Corpus sizes that call for a warning: fixed values.
 FEW_WORDS, MANY_WORDS, MANY_FILES = 50_000, 500_000, 500
@@ -73,7 +74,7 @@ def apply_ignores(files: DataFrame, patterns: DataFrame) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("above"), (k < F.size(parts)).alias("is_dir")))
     every = files.select("path").distinct().select("path", F.inline(ups))
     inside = (F.col("base") == "") | F.col("above").startswith(F.concat("base", F.lit("/")))
-    hits = every.join(F.broadcast(patterns.limit(10_000)), inside & F.expr("rlike(CASE WHEN base = '' THEN above ELSE substring(above, length(base) + 2) END, regex)") & (~F.col("dirs_only") | F.col("is_dir")))
+    hits = every.join(sized_broadcast(materialize(patterns, "patterns")), inside & F.expr("rlike(CASE WHEN base = '' THEN above ELSE substring(above, length(base) + 2) END, regex)") & (~F.col("dirs_only") | F.col("is_dir")))
     verdict = hits.groupBy("path", "above").agg(F.max_by(~F.col("negated"), "place").alias("out"))
     out = verdict.groupBy("path").agg(F.bool_or("out").alias("_out"))
     return files.join(out, "path", "left").withColumn("ignored", F.coalesce("_out", F.lit(False))).drop("_out")

@@ -36,17 +36,15 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(F.lit(0).alias("place"), F.to_json(F.struct(*nodes.columns)).alias("line")).union(edges.select(F.lit(1), F.to_json(F.struct(*edges.columns))))
 
 
-def notes(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
-    """name, body: a note for each node, with links to its neighbours (the `most` first by id; how many there are is told)."""
+def notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """name, body: a note for each node, with links to all its neighbours, by their ids."""
     name = F.regexp_replace("label", r'[\\/*?:"<>|#^\[\]]', "_")
     named = nodes.select("id", "label", "file_type", "source_file", F.concat(name, F.lit(" "), F.substring(F.sha1(F.col("id").cast("binary")), 1, 6)).alias("name"))
     both = edges.select(F.col("source").alias("id"), "relation", F.col("target").alias("other")).union(edges.select("target", "relation", "source")).distinct()
-    place = F.row_number().over(Window.partitionBy("id").orderBy("other", "relation"))
-    ranked = both.withColumn("k", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where(F.col("k") <= most)
     other = named.select(F.col("id").alias("other"), F.col("name").alias("to"))
-    lines = ranked.join(other, "other").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "relation", "to"))), lambda x: F.concat(F.lit("- "), x["relation"], F.lit(" [["), x["to"], F.lit("]]"))), "\n").alias("links"), F.max("n").alias("n"))
+    lines = both.join(other, "other").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("other", "relation", "to"))), lambda x: F.concat(F.lit("- "), x["relation"], F.lit(" [["), x["to"], F.lit("]]"))), "\n").alias("links"))
     head = F.concat(F.lit("---\ntype: "), "file_type", F.lit("\nsource: "), T.yaml_string(F.col("source_file")), F.lit("\n---\n# "), "label", F.lit("\n\n"))
-    return named.join(lines, "id", "left").select("name", F.concat(head, F.coalesce("links", F.lit("")), F.when(F.col("n") > most, F.concat(F.lit("\n\n"), F.col("n").cast("string"), F.lit(" links in all"))).otherwise("")).alias("body"))
+    return named.join(lines, "id", "left").select("name", F.concat(head, F.coalesce("links", F.lit(""))).alias("body"))
 
 
 def wiki(nodes: DataFrame, edges: DataFrame, communities: DataFrame, labels: int = 8) -> DataFrame:
