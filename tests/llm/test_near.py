@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.llm import ngram_join as N
@@ -78,6 +79,57 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("part", "few"), [(4, 64), (2048, 0), (3, 0)])
+def test_lists_of_many_components(spark, monkeypatch, part, few):
+    """Near copies at distances about the threshold: lists hold many components, in parts and by centers."""
+    monkeypatch.setattr(N, "FREQUENT", 2)
+    monkeypatch.setattr(N, "PART", part)
+    monkeypatch.setattr(N, "FEW_ACROSS", few)
+    r = random.Random(part + few)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(110):
+        w = list(base)
+        for at in r.sample(range(60), r.choice((0, 1, 1, 2, 3, 4))):
+            w[at] = r.choice((f"own{i}", "other", "third"))
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.components(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_signatures_that_fall_together():
+    """Rare tokens of one set with equal signatures in a block count each, so the bound stays an upper one."""
+    low = np.array([2, 2, 8, 4, 4], np.uint32)  # two sets: rare signatures 2 (twice) and 8; a frequent pair is odd
+    piece = N._pack(np.array([11, 12], np.int64), np.array([18, 18], np.uint32), np.array([3, 3], np.uint32), np.array([2, 2], np.uint32), np.concatenate([low[:2], low[:2]]))
+    again = N._pack(np.array([11], np.int64), np.array([18], np.uint32), np.array([3], np.uint32), np.array([2], np.uint32), low[:2])  # the same set from another partition
+    table = pa.table({"block": pa.array([0, 0], pa.int32()), "piece": pa.array([piece, again], pa.binary())})
+    got = N._pairs_and_lists(table).to_pylist()
+    assert [(g["a"], g["b"]) for g in got] == [(11, 12)]
+    assert got[0]["common"] >= 2
+
+
+def test_long_lists_by_parts():
+    """_across() finds every pair of different components whose frequent parts are near enough, in one part each."""
+    r = np.random.default_rng(9)
+    base = np.unique(r.integers(0, 1 << 63, 90, dtype=np.uint64))
+    sets = [np.sort(r.permutation(base)[r.integers(0, 14) :]) for _ in range(40)]
+    component = r.integers(0, 4, 40)
+    frequent = type("Held", (), {"value": (np.unique(base >> np.uint64(32)), np.ones(len(np.unique(base >> np.uint64(32))), np.uint8))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "tokens"])
+    prints = next(N._prints(0, frequent)(iter([batch]))).column("print").to_pylist()
+    found = []
+    for part in range(3):
+        own = [i for i in range(40) if component[i] != 0 or i % 3 == part]
+        columns = {"sid": own, "component": [int(component[i]) for i in own], "n": [len(sets[i]) for i in own], "r": [0] * len(own), "main": [bool(component[i] == 0) for i in own], "home": [i % 3 for i in own], "print": [prints[i] for i in own], "part": [part] * len(own)}
+        found += [(x["a"], x["b"]) for x in N._across(pa.table(columns)).to_pylist()]
+    assert len(found) == len(set(found))
+    for i, j in combinations(range(40), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if component[i] != component[j] and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            assert (i, j) in found
+
+
 def test_empty_and_repeated(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert N.components(empty).count() == 0

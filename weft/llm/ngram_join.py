@@ -10,11 +10,17 @@ Two linked sets thus share a signature, and no other pairs are looked at. Groups
 number grows with the set's size in bands, and a set near the next band is indexed in both.
 
 The rare tokens that two prefixes have in common bound the intersection, which excludes most candidates
-whose sets only share a passage. The others are verified with the whole sets. Documents with equal sets are one from the start. Where
-many sets share a signature, each is compared first with the one that has the fewest rare tokens, which
-is the likeliest to be what the others are copies of, and the links found make components; only sets of different components that share a signature are then compared with each
-other, so a large group of near copies costs its size and not its square, and no link between
-components is missed.
+whose sets only share a passage. The others are verified with the whole sets. Documents with equal sets are one from the start.
+
+Where many sets share a pair of frequent tokens, each is compared first with the one that has the fewest rare
+tokens, which is the likeliest to be what the others are copies of, and the links found make components. Then
+only sets of different components that share such a pair need to be compared. Those that share a rare token as
+well are candidates by that token already; so what is left has nothing in common but frequent tokens, and
+must agree in nearly all of these: two sets link only if their frequent parts differ in at most
+n_a / 9 - r_a + n_b / 9 - r_b tokens (r: rare ones). The difference is bounded from below by the sizes of
+the parts and by the bits in which two parity bitmaps of them differ. Long lists are split: members of the
+largest component are dealt out, and meet copies of the others. So a large group of near copies costs its
+size and not its square, and no link between components is missed.
 
 Tokens and signatures travel as sorted blocks of 32-bit numbers, by the range of their hash; the number
 of blocks grows with the bytes of text, so a block's size is bounded. The frequent class is broadcast;
@@ -42,9 +48,12 @@ WORDS, PERCENT, LOSS = 5, 80, 5
 #: Documents from which a token is frequent, tokens of the frequent table, sets that the verification picks by a broadcast table.
 FREQUENT, MOST_FREQUENT, MOST_PICKED = 16, 2_000_000, 2_000_000
 #: Bytes of text for one block, tokens held before blocks are written, sets in a list that are all compared at once.
-BLOCK_BYTES, FLUSH, SMALL_LIST = 16 << 20, 3_000_000, 3
-#: Rounds in which lists of several components are compared with one member, before all that remain are.
-STAR_ROUNDS = 3
+BLOCK_BYTES, FLUSH, SMALL_LIST = 16 << 20, 1_000_000, 3
+#: Rounds at most in which lists of several components are compared with one member, pairs across components for each
+#: member up to which all are compared at once, members of a list's largest component in one part of it.
+STAR_ROUNDS, FEW_ACROSS, PART = 6, 64, 2048
+#: 64-bit words of the parity bitmap of a set's frequent tokens.
+PRINT_WORDS = 8
 _C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -101,6 +110,18 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _grades(tokens: np.ndarray, bits: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each token 0 if it is rare, else the logarithm of its frequency."""
+    table, grades = frequent
+    key = tokens >> np.uint64(32 - bits)
+    at = np.searchsorted(table, key)
+    inside = at < len(table)
+    inside[inside] = table[at[inside]] == key[inside]
+    out = np.zeros(len(tokens), np.uint8)
+    out[inside] = grades[at[inside]]
+    return out
+
+
 def set_id(tokens: np.ndarray) -> int:
     """A 64-bit number of a set, signed."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
@@ -256,7 +277,6 @@ def _signature_pieces(bits: int, frequent):
         return pa.RecordBatch.from_arrays([none, none, none, pa.array([b for b, _ in cuts], pa.int32()), pa.array(packed, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, grades = frequent.value
         sids, sizes, held, size, seen = [], [], [], 0, set()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist())
@@ -267,13 +287,7 @@ def _signature_pieces(bits: int, frequent):
                 if len(tokens) < 2 or sid in seen:  # one token: equal sets only
                     continue
                 seen.add(sid)
-                key = tokens >> np.uint64(32 - bits)
-                at = np.searchsorted(table, key)
-                inside = at < len(table)
-                inside[inside] = table[at[inside]] == key[inside]
-                grade = np.zeros(len(tokens), np.uint8)
-                grade[inside] = grades[at[inside]]
-                own, rare = signatures(tokens, grade)
+                own, rare = signatures(tokens, _grades(tokens, bits, frequent.value))
                 sids.append(sid)
                 sizes.append((len(tokens), rare))
                 held.append(own)
@@ -295,69 +309,69 @@ def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 CANDIDATES = "a long, b long, na long, ra long, nb long, rb long, common long, name binary, list binary"
 
 
-def _pairs_and_lists(least: int):
+def _by_frequent(na: np.ndarray, ra: np.ndarray, nb: np.ndarray, rb: np.ndarray) -> np.ndarray:
+    """Whether sets whose prefixes hold all their rare tokens can link without a rare token in common."""
+    return (100 + PERCENT) * np.minimum(na.astype(np.int64) - ra, nb.astype(np.int64) - rb) >= PERCENT * (na.astype(np.int64) + nb)
+
+
+def _pairs_and_lists(group: pa.Table) -> pa.Table:
     """Of a block: pairs of sets (a < b) with their sizes, rare tokens in their prefixes, and how many of those they have in
     common here; and the lists of sets that share a pair of frequent tokens, where they are too long for all pairs.
 
-    A rare token is in at most `least` sets, so all pairs of these are looked at.
+    All pairs of sets with a rare token are looked at, as it is in few. Signatures are known here by block and 31 bits.
+    Where several of one set fall together each of them counts, so `common` may be too large but never too small.
     """
-
-    def run(group: pa.Table) -> pa.Table:
-        sigs, sids, sizes, rares = [], [], [], []
-        for piece in group.column("piece"):
-            who, n, rare, how_many, low = _unpack(piece.as_py(), "<i8", "<u4", "<u4", "<u4", "<u4")
-            sigs.append(low)
-            sids.append(np.repeat(who, how_many))
-            sizes.append(np.repeat(n, how_many))
-            rares.append(np.repeat(rare, how_many))
-        sig, sid, size, rare = (np.concatenate(x) for x in (sigs, sids, sizes, rares))
-        order = np.lexsort((sid, sig))
-        sig, sid, size, rare = sig[order], sid[order], size[order], rare[order]
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])))  # a set comes once from each partition
-        sig, sid, size, rare = sig[new], sid[new], size[new], rare[new]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(first, len(sig)))
-        is_pair = (sig[first] & 1).astype(bool)
-        a, b, common = [], [], []
-        for k in np.unique(length[length > 1]):
-            for of_pairs in (False, True):
-                at = first[(length == k) & (is_pair == of_pairs)]
-                if not len(at) or k > (SMALL_LIST if of_pairs else max(least, SMALL_LIST)):
-                    continue
-                for i in range(k - 1):
-                    x = np.repeat(at + i, k - 1 - i)
-                    y = (at[:, None] + np.arange(i + 1, k)[None, :]).ravel()
-                    fit = _fits(size[x], size[y])
-                    a.append(x[fit])
-                    b.append(y[fit])
-                    common.append(np.full(int(fit.sum()), 0 if of_pairs else 1))
-        lists: dict[bytes, bytes] = {}
-        longest = np.where(is_pair, SMALL_LIST, max(least, SMALL_LIST))
-        for at, n in zip(first[length > longest], length[length > longest], strict=True):
-            own = slice(at, at + n)
-            key = xxhash.xxh3_128_digest(sid[own].tobytes())
-            if key not in lists:
-                lists[key] = _pack(sid[own], size[own], rare[own])
-                center = at + int(rare[own].argmin())
-                others = np.delete(np.arange(at, at + n), center - at)
-                others = others[_fits(size[others], np.full(n - 1, size[center]))]
-                a.append(np.minimum(others, center))
-                b.append(np.maximum(others, center))
-                common.append(np.zeros(len(others), np.int64))
-        x, y, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, common))
-        order = np.lexsort((sid[y], sid[x]))
-        x, y, c = x[order], y[order], c[order]
-        start = np.flatnonzero(np.concatenate(([True], (sid[x][1:] != sid[x][:-1]) | (sid[y][1:] != sid[y][:-1])))) if len(x) else x
-        c = np.add.reduceat(c, start) if len(x) else c
-        x, y = x[start], y[start]
-        n, m = len(x), len(lists)
-        numbers = {"a": sid[x], "b": sid[y], "na": size[x], "ra": rare[x], "nb": size[y], "rb": rare[y], "common": c}
-        columns = {k: pa.concat_arrays([pa.array(v.astype(np.int64)), pa.nulls(m, pa.int64())]) for k, v in numbers.items()}
-        columns["name"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists), pa.binary())])
-        columns["list"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists.values()), pa.binary())])
-        return pa.table(columns)
-
-    return run
+    parts = [_unpack(piece.as_py(), "<i8", "<u4", "<u4", "<u4", "<u4") for piece in group.column("piece")]
+    who, n, r, how_many, sig = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    once = np.zeros(len(who), bool)  # a set comes once from each partition, each time with all its signatures of the block
+    once[np.unique(who, return_index=True)[1]] = True
+    sig = sig[np.repeat(once, how_many)]
+    sid, size, rare = (np.repeat(v[once], how_many[once]) for v in (who, n, r))
+    order = np.lexsort((sid, sig))
+    sig, sid, size, rare = sig[order], sid[order], size[order], rare[order]
+    same = np.concatenate(([False], (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1]) & (sig[1:] & 1).astype(bool)))
+    sig, sid, size, rare = sig[~same], sid[~same], size[~same], rare[~same]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    length = np.diff(np.append(first, len(sig)))
+    is_pair = (sig[first] & 1).astype(bool)
+    a, b, common = [], [], []
+    for k in np.unique(length[length > 1]):
+        for of_pairs in (False, True):
+            at = first[(length == k) & (is_pair == of_pairs)]
+            if not len(at) or of_pairs and k > SMALL_LIST:
+                continue
+            for i in range(k - 1):
+                x = np.repeat(at + i, k - 1 - i)
+                y = (at[:, None] + np.arange(i + 1, k)[None, :]).ravel()
+                fit = _by_frequent(size[x], rare[x], size[y], rare[y]) if of_pairs else _fits(size[x], size[y]) & (sid[x] != sid[y])
+                a.append(x[fit])
+                b.append(y[fit])
+                common.append(np.full(int(fit.sum()), 0 if of_pairs else 1))
+    lists: dict[bytes, bytes] = {}
+    long = is_pair & (length > SMALL_LIST)
+    for at, n in zip(first[long], length[long], strict=True):
+        own = slice(at, at + n)
+        key = xxhash.xxh3_128_digest(sid[own].tobytes())
+        if key not in lists:
+            lists[key] = _pack(sid[own], size[own], rare[own])
+            center = at + int(rare[own].argmin())
+            others = np.delete(np.arange(at, at + n), center - at)
+            others = others[_by_frequent(size[others], rare[others], np.full(n - 1, size[center]), np.full(n - 1, rare[center]))]
+            a.append(np.minimum(others, center))
+            b.append(np.maximum(others, center))
+            common.append(np.zeros(len(others), np.int64))
+    x, y, c = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, common))
+    order = np.lexsort((sid[y], sid[x]))
+    x, y, c = x[order], y[order], c[order]
+    start = np.flatnonzero(np.concatenate(([True], (sid[x][1:] != sid[x][:-1]) | (sid[y][1:] != sid[y][:-1])))) if len(x) else x
+    c = np.add.reduceat(c, start) if len(x) else c
+    x, y = x[start], y[start]
+    n, m = len(x), len(lists)
+    numbers = {"a": sid[x], "b": sid[y], "na": size[x], "ra": rare[x], "nb": size[y], "rb": rare[y], "common": c}
+    columns = {k: pa.concat_arrays([pa.array(v.astype(np.int64)), pa.nulls(m, pa.int64())]) for k, v in numbers.items()}
+    columns["name"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists), pa.binary())])
+    columns["list"] = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(lists.values()), pa.binary())])
+    return pa.table(columns)
 
 
 def _possible() -> Column:
@@ -383,39 +397,45 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(sids[part]), pa.binary()), pa.array(sids[part]), pa.array(sizes[part].astype(np.int64)), pa.array(rares[part].astype(np.int64))], ["name", "sid", "n", "r"])
 
 
-ACROSS = "a long, b long, na long, ra long, nb long, rb long"
+def _prints(bits: int, frequent):
+    """sid and the parity bitmap of the frequent tokens of each set (sid, tokens)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for data in batch.column("tokens"):
+                tokens = np.frombuffer(data.as_buffer(), np.uint64)
+                place = tokens[_grades(tokens, bits, frequent.value) > 0] % np.uint64(64 * PRINT_WORDS)
+                odd = np.bincount(place.astype(np.int64), minlength=64 * PRINT_WORDS) & 1
+                rows.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(rows, pa.binary())], ["sid", "print"])
 
-def _across(center: int | None):
-    """Pairs of a list's members of different components: all (None), or those with one member, another one each round.
+    return run
 
-    Pairs that can't link even if all their rare tokens were common are left out.
-    """
 
-    def run(group: pa.Table) -> pa.Table:
-        sid, comp, n, rare = (group.column(c).to_numpy() for c in ("sid", "component", "n", "r"))
-        order = np.argsort(sid)
-        sid, comp, n, rare = sid[order], comp[order], n[order], rare[order]
-        if center is None:
-            chosen = range(len(sid) - 1)
-        else:
-            order = np.lexsort((rare, comp))
-            where = order[np.unique(comp[order], return_index=True)[1]]
-            chosen = [int(where[center % len(where)])]
-        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in chosen:
-            others = np.arange(i + 1, len(sid)) if center is None else np.arange(len(sid))
-            most = np.minimum(n[others], n[i])
-            both = np.minimum(rare[others], rare[i]) + np.minimum(n[others] - rare[others], n[i] - rare[i])
-            full = (rare[others] > n[others] // LOSS) | (rare[i] > n[i] // LOSS)
-            most = np.where(full, most, np.minimum(most, both))
-            others = others[(comp[others] != comp[i]) & ((100 + PERCENT) * most >= PERCENT * (n[others] + n[i]))]
-            x.append(np.minimum(others, i))
-            y.append(np.maximum(others, i))
-        x, y = np.concatenate(x), np.concatenate(y)
-        return pa.table({"a": pa.array(sid[x]), "b": pa.array(sid[y]), "na": pa.array(n[x]), "ra": pa.array(rare[x]), "nb": pa.array(n[y]), "rb": pa.array(rare[y])})
+def _across(group: pa.Table) -> pa.Table:
+    """Of a part of a list: the pairs (a, b) of members of different components that can link by their frequent tokens alone.
 
-    return run
+    A part has some members of the list's largest component, and all other members. Pairs of the others are
+    taken in the part that is the home of the one with the smaller sid.
+    """
+    part = group.column("part")[0].as_py()
+    sid, comp, n, rare, main, home = (group.column(c).to_numpy() for c in ("sid", "component", "n", "r", "main", "home"))
+    bitmaps = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint64).reshape(len(sid), PRINT_WORDS)
+    order = np.lexsort((sid, main))
+    sid, comp, n, rare, main, home, bitmaps = (v[order] for v in (sid, comp, n, rare, main, home, bitmaps))
+    apart = int(np.searchsorted(main, True))  # the others come first
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(apart):
+        others = np.arange(i + 1 if home[i] == part else apart, len(sid))
+        others = others[(comp[others] != comp[i]) & _by_frequent(n[others], rare[others], n[i], rare[i])]
+        differ = np.bitwise_count(bitmaps[others] ^ bitmaps[i]).sum(axis=1, dtype=np.int64)
+        # 2 * |frequent in common| <= what both have less what differs
+        others = others[(100 + PERCENT) * (n[others] - rare[others] + n[i] - rare[i] - differ) >= 2 * PERCENT * (n[others] + n[i])]
+        x.append(np.full(len(others), i))
+        y.append(others)
+    x, y = sid[np.concatenate(x)], sid[np.concatenate(y)]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
 def _picked_sets(picked):
@@ -497,41 +517,78 @@ def components(docs: DataFrame) -> DataFrame:
     kept = kept.select("token", "n").toArrow().sort_by("token")
     grades = np.floor(np.log2(kept.column("n").to_numpy())).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((kept.column("token").to_numpy().astype(np.uint64), grades))
-    rare = FREQUENT if total <= MOST_FREQUENT else 2 ** int(by_size[0]["size"] + 1 if least is None else least)
     pieces = materialize(texts.mapInArrow(_signature_pieces(bits, frequent), PIECES), "signatures")
     names = pieces.where("sid IS NOT NULL").select("doc_id", "n", "sid")
-    found = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_pairs_and_lists(rare), CANDIDATES)
+    found = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_pairs_and_lists, CANDIDATES)
     found = materialize(found, "candidates")
     common = found.where("a IS NOT NULL").groupBy("a", "b", "na", "ra", "nb", "rb").agg(F.sum("common").alias("common"))
-    common = materialize(common, "common")
-    pairs = common.where(_possible()).select("a", "b")
+    pairs = materialize(common.where(_possible()).select("a", "b"), "pairs")
     lists = found.where("name IS NOT NULL").select("name", "list").dropDuplicates(["name"])
     members = materialize(lists.mapInArrow(_members, "name binary, sid long, n long, r long"), "members")
     needed = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct(), "needed")
     sets = _sets(texts, needed)
     links = materialize(_verified(sets, pairs), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
-    done = pairs
     for turn in range(STAR_ROUNDS + 1):
         named = members.join(component, members["sid"] == component["node"], "left").select("name", "sid", "n", "r", F.coalesce("component", "sid").alias("component"))
-        several = named.groupBy("name").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("name")
-        members = materialize(named.join(several, "name", "left_semi"), "members")
-        if members.isEmpty():
+        members, lists = _of_several(materialize(named, "named"))
+        if lists.isEmpty():
             break
-        star = turn < STAR_ROUNDS and _long(members)
-        across = members.groupBy("name").applyInArrow(_across(turn if star else None), ACROSS).distinct()
-        across = across.join(common.select("a", "b", "common"), ["a", "b"], "left").fillna(0, ["common"]).where(_possible()).select("a", "b")
-        across = materialize(across.join(done, ["a", "b"], "left_anti"), "across")
-        more = materialize(_verified(sets, across), "links")
+        star = turn < STAR_ROUNDS and _many_across(lists)
+        if star:
+            across = _with_center(members, turn)
+        else:
+            across = _in_parts(members, lists, materialize(sets.join(sized_broadcast(members.select("sid").distinct()), "sid", "left_semi").mapInArrow(_prints(bits, frequent), "sid long, print binary"), "prints"))
+        more = materialize(_verified(sets, materialize(across, "across")), "links")
         members = members.drop("component")
         if not more.isEmpty():
             component = materialize(_joined(component, more), "components")
         if not star:
             break
-        done = done.union(across)
+    frequent.unpersist()
     return _named(names, component)
 
 
+def _of_several(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (name, sid, n, r, component) of lists of several components, and these lists: name, rows, main (the
+    component with the most members) and across (pairs of members of different components)."""
+    sizes = members.groupBy("name", "component").agg(F.count(F.lit(1)).alias("rows"))
+    across = (F.sum("rows") * F.sum("rows") - F.sum(F.col("rows") * F.col("rows"))) / 2
+    lists = sizes.groupBy("name").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), across.alias("across"))
+    lists = materialize(lists.where("parts > 1").drop("parts"), "lists")
+    return materialize(members.join(sized_broadcast(lists.select("name")), "name", "left_semi"), "members"), lists
+
+
+def _many_across(lists: DataFrame) -> bool:
+    """Whether all pairs across components would be many times the members."""
+    row = lists.agg(F.sum("across").alias("across"), F.sum("rows").alias("rows")).first()
+    return row["across"] > FEW_ACROSS * row["rows"]
+
+
+def _can_link(n: str, r: str, cn: str, cr: str) -> Column:
+    """_by_frequent() of columns."""
+    return (100 + PERCENT) * F.least(F.col(n) - F.col(r), F.col(cn) - F.col(cr)) >= PERCENT * (F.col(n) + F.col(cn))
+
+
+def _with_center(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each list's members with one of another component: the one with the fewest rare tokens of a component that
+    changes with turn."""
+    order = F.struct(F.xxhash64("component", F.lit(turn)), "r", "sid")
+    centers = members.groupBy("name").agg(F.min_by(F.struct(F.col("sid").alias("c"), F.col("component").alias("cc"), F.col("n").alias("cn"), F.col("r").alias("cr")), order).alias("center"))
+    both = members.join(sized_broadcast(materialize(centers.select("name", "center.*"), "centers")), "name").where(F.col("component") != F.col("cc"))
+    return both.where(_can_link("n", "r", "cn", "cr")).select(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).distinct()
+
+
+def _in_parts(members: DataFrame, lists: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) that _across() finds in all lists. A part holds up to about PART members of the main component."""
+    parts = F.ceil(F.col("rows") / PART).cast("int")
+    rows = members.join(sized_broadcast(lists), "name").join(sized_broadcast(prints), "sid")
+    own = F.pmod(F.xxhash64("sid"), parts).cast("int")
+    rows = rows.select("name", "sid", "component", "n", "r", "print", (F.col("component") == F.col("main")).alias("main"), own.alias("home"), parts.alias("parts"))
+    at = F.when(F.col("main"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    return rows.withColumn("part", F.explode(at)).drop("parts").groupBy("name", "part").applyInArrow(_across, "a long, b long").distinct()
+
+
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
     """component (node, component) after further links (a, b): only the graph of the components that they tie is solved."""
     known = component.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
@@ -545,13 +602,6 @@ def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
     return rows.union(fresh.select("_old", "_new"))
 
 
-def _long(members: DataFrame) -> bool:
-    """Whether all pairs within the lists would be many times their members."""
-    by_list = members.groupBy("name").count()
-    row = by_list.agg(F.sum(F.col("count") * F.col("count")).alias("pairs"), F.sum("count").alias("rows")).first()
-    return row["pairs"] > 64 * row["rows"]
-
-
 def _named(names: DataFrame, component: DataFrame) -> DataFrame:
     """Components of sets as components of documents."""
     component = component.select(F.col("node").alias("sid"), "component")
