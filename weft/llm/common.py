@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,26 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 
 def n_words(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def release() -> None:
+    """Give a Python worker's free memory back: workers outlive their tasks and stand beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """run, a function of an iterator of batches, with forget() and release() at a task's end, however it ends."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            release()
+
+    return whole

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import OWN, table, text_or_empty, without
+from weft.llm.common import OWN, releasing, table, text_or_empty, without
 from weft.operators.components import connected_components
 from weft.runtime import bound_batches, materialize, power_of_two, sized_broadcast
 
@@ -80,22 +80,26 @@ class _Words(dict):
         return n
 
 
-#: Words that a worker remembers.
-MOST_WORDS = 400_000
+#: Words that a worker remembers, until its task ends.
+MOST_WORDS = 200_000
 _words = _Words()
 
 
+def _forget() -> None:
+    global _words
+    _words = _Words()
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct tokens of each whole text."""
-    global _words
-    if len(_words) > MOST_WORDS:
-        _words = _Words()
-    known = _words
-    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    numbers = [np.array([known[w] for w in ws], np.int64) for ws in words]
     out = []
-    for ws, ns in zip(words, numbers, strict=True):
+    for text in texts:
+        if len(_words) > MOST_WORDS:
+            _forget()
+        known = _words
+        ws = text.encode("utf-8", "surrogatepass").lower().split()
         if len(ws) >= WORDS:
+            ns = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
             h = known.hashes[ns]
             n = len(h) - WORDS + 1
             s = h[:n] * _C[0]
@@ -477,7 +481,7 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     few = needed.limit(MOST_PICKED + 1).count() <= MOST_PICKED  # then a table of at most 16 MB
     picked = spark.sparkContext.broadcast(np.sort(needed.toArrow().column("sid").to_numpy())) if few else None
-    return materialize(texts.mapInArrow(_picked_sets(picked), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
+    return materialize(texts.mapInArrow(releasing(_picked_sets(picked), _forget), "sid long, tokens binary").dropDuplicates(["sid"]), "sets")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -486,7 +490,7 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = sets.join(sized_broadcast(needed), "sid", "left_semi")
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(releasing(_linked), "a long, b long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -504,7 +508,7 @@ def components(docs: DataFrame) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = power_of_two(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size / BLOCK_BYTES))
     bits = min(30, blocks.bit_length() - 1)
-    tokens = texts.mapInArrow(_token_pieces(bits), "block int, piece binary").groupBy("block")
+    tokens = texts.mapInArrow(releasing(_token_pieces(bits), _forget), "block int, piece binary").groupBy("block")
     tokens = materialize(tokens.applyInArrow(_frequent_tokens(FREQUENT), "token long, n long"), "tokens")
     by_size = tokens.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()  # at most 64 rows
     least, total = None, 0
@@ -517,7 +521,7 @@ def components(docs: DataFrame) -> DataFrame:
     kept = kept.select("token", "n").toArrow().sort_by("token")
     grades = np.floor(np.log2(kept.column("n").to_numpy())).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((kept.column("token").to_numpy().astype(np.uint64), grades))
-    pieces = materialize(texts.mapInArrow(_signature_pieces(bits, frequent), PIECES), "signatures")
+    pieces = materialize(texts.mapInArrow(releasing(_signature_pieces(bits, frequent), _forget), PIECES), "signatures")
     names = pieces.where("sid IS NOT NULL").select("doc_id", "n", "sid")
     found = pieces.where("block IS NOT NULL").select("block", "piece").groupBy("block").applyInArrow(_pairs_and_lists, CANDIDATES)
     found = materialize(found, "candidates")

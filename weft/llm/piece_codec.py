@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import OWN, table, text_or_empty, without
+from weft.llm.common import OWN, releasing, table, text_or_empty, without
 from weft.runtime import bound_batches
 
-#: Chunks and pairs of pieces that a worker remembers; when full, it starts anew.
-CHUNKS, PAIRS = 300_000, 1_000_000
+#: Chunks that a worker remembers until its task ends, in each of two generations (when the newer one is full it replaces
+#: the older one), and pairs of pieces that it remembers as long as it lives (when full, it starts anew).
+CHUNKS, PAIRS = 200_000, 400_000
+#: Characters of a chunk that is remembered, characters whose matches are held at a time, the score of what isn't merged.
+SHORT, WINDOW, NEVER = 64, 1 << 16, float("-inf")
 SPACE = "▁"
 #: Piece types of the model format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -97,96 +102,134 @@ class PieceCodec:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         surface = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: " ⁇ ".encode()}
         self.surface = [surface[k](p) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.most = max(map(len, self.ids), default=1)
+        self.size = list(map(len, self.pieces))
+        self.merged = {p: self.scores[i] for p, i in self.ids.items()}
+        # the longest piece that a piece begins with, other than itself: the next one to try
+        self.shorter = [next((j for k in range(len(p) - 1, 0, -1) if (j := self.ids.get(p[:k])) is not None), -1) for p in self.pieces]
         self.find = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.find.add_word(piece, (len(piece), i))
+            self.find.add_word(piece, i)
         self.find.make_automaton()
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         lines = not any("\n" in p for p in self.ids)
         self.split = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if apart and lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"(?s:.+)")
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.forget()
 
     def merge(self, text: str) -> list[str]:
         """The segmentation of a short text by merging the best-scored neighbours, the leftmost first."""
         parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                j = self.ids.get(parts[i] + parts[i + 1])
-                if j is not None and (best is None or self.scores[j] > best):
-                    best, at = self.scores[j], i
-            if at < 0:
-                return parts
+        get = self.merged.get
+        scores = [get(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > NEVER:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], NEVER)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], NEVER)
+        return parts
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether right may follow left (-1: nothing before it)."""
-        found = self.pairs.get((left, right))
+        key = left * len(self.pieces) + right
+        found = self.pairs.get(key)
         if found is None:
             own = [self.pieces[i] for i in (left, right) if i >= 0]
             found = self.merge("".join(own)) == own
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = found
+            self.pairs[key] = found
+        return found
+
+    def _longest(self, text: str, low: int, n: int) -> list[int]:
+        """The longest piece that begins at each of n positions from low, -1 where none does."""
+        found = [-1] * n
+        size = self.size
+        if n == len(text):
+            for end, piece in self.find.iter(text):
+                found[end + 1 - size[piece]] = piece  # of one begin, the longest ends last
+            return found
+        for end, piece in self.find.iter(text, low, min(len(text), low + n + self.most - 1)):
+            begin = end + 1 - size[piece] - low
+            if begin < n:
+                found[begin] = piece
         return found
 
-    def _chunk(self, text: str) -> list[int]:
+    def _chunk(self, text: str) -> bytes:
+        """The ids of a text, as encode_bytes() gives them. Matches are held for one window at a time, and found again where a position before it is
+        tried anew; beside that a position costs a bit, and a piece that is taken some bytes."""
         n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.find.iter(text):
-            starts[end + 1 - match[0]].append(match)  # by length, shortest first
+        low, high = 0, min(n, WINDOW)
+        longest = self._longest(text, 0, high)
         failed = bytearray(n // 8 + 1)
-        # taken: (piece or -1 for a character that no piece has, where it begins, which match it was)
-        taken: list[tuple[int, int, int]] = []
-        at, option = 0, len(starts[0]) - 1
+        size, shorter, pairs, many = self.size, self.shorter, self.pairs, len(self.pieces)
+        taken = array("i")  # -1: a character that no piece has, which stands by itself
+        at, before, piece, alone = 0, -1, longest[0], longest[0] < 0
         while at < n:
-            before = taken[-1][0] if taken else -1
-            moved = False
-            if not starts[at]:
-                if option == -1:  # such a character stands by itself; there is one way to take it
-                    taken.append((-1, at, -2))
-                    at, moved = at + 1, True
-            else:
-                while option >= 0:
-                    length, piece = starts[at][option]
-                    end = at + length
-                    if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(before, piece):
-                        taken.append((piece, at, option - 1))
-                        at, moved = end, True
+            while piece >= 0:
+                end = at + size[piece]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = pairs.get(before * many + piece)
+                    if self.compatible(before, piece) if fits is None else fits:
                         break
-                    option -= 1
-            if moved:
-                option = len(starts[at]) - 1 if at < n else -1
+                piece = shorter[piece]
+            if piece >= 0 or alone:
+                taken.append(piece)
+                before = piece
+                at = end if piece >= 0 else at + 1
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                _, at, option = taken.pop()
-        out: list[int] = []
-        for piece, begin, _ in taken:
+                while (last := taken.pop()) < 0:  # a character by itself has no other way
+                    at -= 1
+                    failed[at >> 3] |= 1 << (at & 7)
+                at -= size[last]
+                before = taken[-1] if taken else -1
+                piece, alone = shorter[last], False
+                continue
+            if at < n:
+                if not low <= at < high:
+                    low = at // WINDOW * WINDOW
+                    high = min(n, low + WINDOW)
+                    longest = self._longest(text, low, high - low)
+                piece = longest[at - low]
+                alone = piece < 0
+        if min(taken) >= 0:
+            return _little(taken)
+        out, at = array("I"), 0
+        for piece in taken:
             if piece >= 0:
                 out.append(piece)
+                at += size[piece]
             else:
-                raw = text[begin].encode()
-                out += [self.bytes[b] for b in raw] if self.bytes else [self.unk]
-        return out
+                out.extend([self.bytes[b] for b in text[at].encode()] if self.bytes else [self.unk])
+                at += 1
+        return _little(out)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers, without begin and end."""
         if not text:
             return b""
-        held = self.chunks
         parts = []
+        held = self.chunks
         for chunk in self.split.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE)):
             found = held.get(chunk)
             if found is None:
-                found = np.array(self._chunk(chunk), "<u4").tobytes()
-                if len(chunk) <= 64:
+                found = self.before.get(chunk) or self._chunk(chunk)
+                if len(chunk) <= SHORT:
                     if len(held) >= CHUNKS:
-                        held.clear()
+                        self.before, self.chunks = held, {}
+                        held = self.chunks
                     held[chunk] = found
             parts.append(found)
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Drop the chunks that are remembered."""
+        self.chunks, self.before = {}, {}
+
     def encode(self, text: str) -> list[int]:
         """All ids, with begin and end."""
         return [self.bos, *np.frombuffer(self.encode_bytes(text), "<u4").tolist(), self.eos]
@@ -205,6 +248,13 @@ class PieceCodec:
             return _each_invalid_byte(raw)
 
 
+def _little(ids: array) -> bytes:
+    """An array of 32-bit numbers as little-endian bytes."""
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def _each_invalid_byte(raw: bytes) -> str:
     """Decoded as UTF-8, with one replacement character for each byte that is no part of a code point."""
     out, at = [], 0
@@ -245,9 +295,10 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     model = read_model(path)
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model)
-        return pa.array([own.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+        encoded = lambda texts: (pa.array([own.encode(t.as_py()) for t in batch], pa.list_(pa.int32())) for batch in texts)
+        yield from releasing(encoded, own.forget)(batches)
 
     return without(docs, ["ids"]).withColumn("ids", ids(text_or_empty(column)))
 
@@ -274,8 +325,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     model = read_model(path)
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
-    def digests(texts: pa.Array) -> pa.Array:
+    def digested(texts: pa.Array) -> pa.Array:
         own = codec(model)
         begin, end = (struct.pack("<I", i) for i in (own.bos, own.eos))
         rows = []
@@ -286,6 +336,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from releasing(lambda own: map(digested, own), codec(model).forget)(batches)
+
     own = f"{OWN}digests"
     return docs.select("doc_id", digests(text_or_empty()).alias(own)).select("doc_id", f"{own}.*")
 
