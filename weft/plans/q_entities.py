@@ -19,7 +19,7 @@ def labels(spark, d):
 
 
 _LABELS = "lb AS (SELECT lower(p_type || ' ' || p_name) AS norm, 'f' || (min(p_partkey) % 3) || '.md' AS file FROM part GROUP BY 1)"
-_PAIRS = "pp AS (SELECT a.norm AS na, b.norm AS nb, a.file AS fa, b.file AS fb FROM lb a JOIN lb b ON split_part(a.norm, ' ', 1) = split_part(b.norm, ' ', 1) AND a.norm < b.norm)"
+_PAIRS = "pp AS (SELECT a.norm AS na, b.norm AS nb, a.file AS fa, b.file AS fb FROM lb a JOIN lb b ON a.norm < b.norm)"
 
 
 def _label_pairs(spark, d, near=None):
@@ -65,7 +65,7 @@ def entity_dedup(spark, d):
 # --- name resolution over orders as calls: an order calls a part by name, from the file of its customer's segment ---
 
 _CALLS = "calls AS (SELECT o_orderkey AS call_id, 'order:' || o_orderkey AS caller, '.' || upper(p_name) || '()' AS callee, 'sales/' || lower(c_mktsegment) || '/run.py' AS caller_file FROM orders JOIN customer ON o_custkey = c_custkey JOIN part ON p_partkey = o_orderkey % 800)"
-_FUNCS = "funcs AS (SELECT 'part:' || p_partkey AS id, p_name || '()' AS label, CASE p_partkey % 4 WHEN 0 THEN 'sales/' || CASE p_size % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'tests' END || '/' || lower(p_brand) || '.py' WHEN 1 THEN 'lib/' || lower(p_brand) || '.py' WHEN 2 THEN 'web/' || lower(p_brand) || '.ts' ELSE 'sales/tests/t' || p_size || '.py' END AS file FROM part WHERE p_partkey % 10 = 3)"
+_FUNCS = "funcs AS (SELECT 'part:' || p_partkey AS id, p_name || '()' AS label, CASE p_partkey % 4 WHEN 0 THEN 'sales/' || CASE p_size % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'tests' END || '/' || lower(p_brand) || '.py' WHEN 1 THEN 'lib/' || lower(p_brand) || '.py' WHEN 2 THEN 'web/' || lower(p_brand) || '.ts' ELSE 'sales/tests/t' || p_size || '.py' END AS file FROM part)"
 _IMPORTS = "imports AS (SELECT DISTINCT 'sales/' || lower(c_mktsegment) || '/run.py' AS file, p_name AS symbol FROM customer JOIN part ON p_partkey = c_custkey % 50)"
 
 

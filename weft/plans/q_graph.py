@@ -134,7 +134,7 @@ def seed_resolve(spark, d):
     return W.resolve_seeds(nodes(spark, d), spark.createDataFrame([(q,) for q in _SEEDS], "query string"))
 
 
-_BRANDS = "imp AS (SELECT DISTINCT a.p_brand AS source, b.p_brand AS target FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey WHERE a.p_size < 4 AND b.p_size < 4)"
+_BRANDS = "imp AS (SELECT DISTINCT a.p_brand AS source, b.p_brand AS target FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 JOIN part a ON a.p_partkey = x.l_partkey JOIN part b ON b.p_partkey = y.l_partkey)"
 
 
 @query("import_cycles", f"""WITH RECURSIVE {_BRANDS}, p AS (SELECT source AS first, target AS last, [source, target] AS path FROM imp WHERE target > source UNION ALL SELECT first, target, list_append(path, target) FROM p JOIN imp ON last = source WHERE target > first AND NOT list_contains(path, target) AND len(path) < 5)

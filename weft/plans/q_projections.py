@@ -143,7 +143,7 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("body"))
 
 
-@query("cypher_escape", "SELECT doc_id, replace(replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\', '\\\\'), '''', '\\''') AS literal FROM documents")
+@query("cypher_escape", "SELECT doc_id, replace(replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\', '\\\\'), '''', '\\''') AS literal FROM documents")
 def cypher_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cypher_string(F.col("text")).alias("literal"))
 

@@ -16,24 +16,24 @@ def page_links(spark, d):
     return documents.page_links(table(spark, d, "pages"))
 
 
-@query("extract_facts", f"WITH {FILES_SQL} SELECT path AS file, count(*) AS n FROM files WHERE NOT regexp_matches(path, '\\.(py|md|json)$') GROUP BY path")
+@query("extract_facts", f"WITH {FILES_SQL} SELECT path AS file, count(*) AS n FROM files GROUP BY path")
 def extract_facts(spark, d):
     return languages.extract(files(spark, d)).where("kind = 'node'").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("read_graph_json", f"WITH {NODES_SQL} SELECT id, label, file_type, source_file FROM nodes WHERE starts_with(id, 'nation:') OR starts_with(id, 'region:')")
+@query("read_graph_json", f"WITH {NODES_SQL} SELECT id, label, file_type, source_file FROM nodes")
 def read_graph_json(spark, d):
     doc = nodes(spark, d).select(F.to_json(F.struct(F.array(F.struct(F.col("id"), F.col("label").alias("name"), "file_type", F.col("source_file").alias("path"))).alias("nodes"))).alias("text"))
     return documents.read_graph(doc)[0]
 
 
 @query("cypher_script", f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT 0 AS place, 'MERGE (n:' || upper(file_type[1]) || file_type[2:] || ' {{id: ''' || id || '''}}) SET n.label = ''' || label || ''';' AS line FROM nodes
-UNION ALL SELECT 1, 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) MERGE (a)-[:' || upper(relation) || ' {{confidence: ''' || confidence || '''}}]->(b);' FROM edges WHERE relation <> 'uses'""")
+UNION ALL SELECT 1, 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) MERGE (a)-[:' || upper(relation) || ' {{confidence: ''' || confidence || '''}}]->(b);' FROM edges""")
 def cypher_script(spark, d):
     return sinks.cypher(nodes(spark, d), edges(spark, d))
 
 
-@query("graphml", f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT 0 AS place, '<node id="' || id || '"><data key="label">' || label || '</data></node>' AS line FROM nodes UNION ALL SELECT 1, '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data></edge>' FROM edges WHERE relation = 'calls'""")
+@query("graphml", f"""WITH {NODES_SQL}, {EDGES_SQL} SELECT 0 AS place, '<node id="' || id || '"><data key="label">' || label || '</data></node>' AS line FROM nodes UNION ALL SELECT 1, '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data></edge>' FROM edges""")
 def graphml(spark, d):
     return sinks.graphml(nodes(spark, d), edges(spark, d))
 
@@ -43,7 +43,7 @@ def wiki_articles(spark, d):
     return sinks.wiki(nodes(spark, d), edges(spark, d), communities(spark, d)).select("community", "size")
 
 
-@query("vault_notes", f"WITH {NODES_SQL} SELECT regexp_replace(label, '[\\\\/*?:\"<>|#^\\[\\]]', '_', 'g') || ' ' || substr(sha1(id), 1, 6) AS name FROM nodes WHERE NOT starts_with(id, 'order:')")
+@query("vault_notes", f"WITH {NODES_SQL} SELECT regexp_replace(label, '[\\\\/*?:\"<>|#^\\[\\]]', '_', 'g') || ' ' || substr(sha1(id), 1, 6) AS name FROM nodes")
 def vault_notes(spark, d):
     return sinks.notes(nodes(spark, d), edges(spark, d)).select("name")
 
