@@ -125,7 +125,11 @@ def test_field_agrees_with_brute_force_and_adds_spans(spark):
         stack.append((at + 1, s, chosen))
         stack += [(int(lat.end[c]), s + score[c], [*chosen, c]) for c in np.flatnonzero(lat.begin == at)]
     assert abs(pii.marginals(lat, weights)[1] - math.log(total)) < 1e-6
-    assert pii.best(lat, weights) == best[1]
+    region = pii.Region(text, *pii.regions(text)[0])
+    got = pii.decode(region, weights)
+    assert [(i, j, k) for i, j, k, _ in got] == [(int(lat.begin[c]), int(lat.end[c]), int(lat.kind[c])) for c in best[1]]
+    sure = pii.marginals(lat, weights)[0]
+    assert np.allclose([x[3] for x in got], sure[best[1]])
     base = pii.base_spans(text)
     assert (5, 21, "phone") in pii.added_spans(text, base, weights)
     for clean in ("on 2024-01-15 we met", "order 1234567890123", "plain words only", 'token = "3f76bb46f51625a07193ae74d1cc485f188b9b5d"'):
@@ -138,6 +142,41 @@ def test_field_agrees_with_brute_force_and_adds_spans(spark):
     assert pii.find(docs.limit(0), weights).count() == 0
 
 
+def test_padded_and_long_digit_runs(monkeypatch):
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 5006, "ip")]
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    weights = pii.fit(pii.generated(320), epochs=15)
+    text = "1 2 3 " * 3000 + "call 0049 151 1234567 now " + "x" * 300 + " (at) mail.example.org"
+    whole = pii.added_spans(text, [], weights)
+    assert (18005, 18021, "phone") in whole
+    monkeypatch.setattr(pii, "WINDOW", 64)
+    assert pii.added_spans(text, [], weights) == whole
+    at = text.index("xxx")
+    assert pii.regions(text)[-1] == (at, len(text))  # a long word is never cut
+
+
+def test_recall_and_precision_of_added_spans():
+    """On disguised spans that the base patterns miss, from another seed than the training's."""
+    weights = pii.fit(pii.generated())
+    want = hit = added = right = 0
+    for text, spans in pii.generated(1600, seed=77):
+        base = pii.base_spans(text)
+        missed = [s for s in spans if s not in base and not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+        found = pii.added_spans(text, base, weights)
+        want, hit = want + len(missed), hit + sum(s in found for s in missed)
+        added, right = added + len(found), right + sum(s in spans for s in found)
+    assert want > 100
+    assert hit >= 0.9 * want, (hit, want)
+    assert right >= 0.9 * added, (right, added)
+
+
+def test_personal_data_of_repeated_rows(spark):
+    rows = [(1, "mail a.b@c.org", "s"), (1, "mail a.b@c.org", "s"), (2, "4111 1111 1111 1111", "t"), (None, "7" * 100_000, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_IP string")
+    got = pii.find(docs, pii.train(docs, 3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_email"], r["n_card"], r["n_ip"]) for r in got) == [(0, 0, 0, 0), (1, 1, 0, 0), (1, 1, 0, 0), (2, 0, 1, 0)]
+
+
 def test_forward_is_exact():
     r = np.random.default_rng(1)
     k = 3

@@ -7,17 +7,23 @@ bounded, so a region's cost is linear in its tokens. A span is added if its marg
 least ADD_FROM and it meets no base span; base spans always stay.
 
 Only regions around digits, at-signs and bracketed "at"s are looked at, since no candidate lies
-elsewhere; every such region of the whole text is. The weights are trained on the driver by gradient
-ascent on the likelihood, on generated examples and on a bounded sample of documents labelled by the
-base patterns.
+elsewhere; every such region of the whole text is, by windows of tokens: only sums and the best way to each
+token are kept, candidates are made again for the way back. The weights are trained on the driver by
+gradient ascent on the likelihood, on generated examples and on a bounded sample of documents labelled by
+the base patterns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,10 @@ from weft.llm.common import OWN, table, text_or_empty, without
 from weft.runtime import bound_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment at most, marginal probability from which a span is added, documents in training at most.
-LONGEST, ADD_FROM, SAMPLE = 28, 0.8, 200
+#: Tokens of a segment at most, marginal probability from which a span is added, tokens whose candidates are held at a time.
+LONGEST, ADD_FROM, WINDOW = 28, 0.8, 4096
+#: Documents in training at most, and bytes of each of them at most: no longer one is drawn.
+SAMPLE, SAMPLE_BYTES = 200, 1 << 16
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a run of digits is tried from its begin only: its later digits lead to the same end
@@ -64,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := x.lstrip("0")) < 4 and int(p or "0") <= 255 for x in m[0].split(".")):
                 found.append((*m.span(), "ip"))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -85,8 +93,8 @@ def _order(s: Span) -> tuple:
 _ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _MARK = re.compile(r"[(\[]at[)\]]")
 _TOKEN = re.compile(r"[(\[]at[)\]]|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-#: Characters between anchors of one region, and around them.
-GAP, AROUND = 12, 64
+#: Characters between anchors of one region.
+GAP = 12
 _SEPARATORS = frozenset(" -.()")
 _MAIL = frozenset("._%+-")
 FEATURES = (
@@ -108,15 +116,17 @@ def regions(text: str) -> list[tuple[int, int]]:
             out.append(m.span())
     wide: list[tuple[int, int]] = []
     for start, end in out:
-        low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+        done = wide[-1][1] if wide else 0
+        if end <= done:
+            continue
         for _ in range(2):  # a bracketed "at" may stand apart; then the words beside it belong to it
-            while start > low and not text[start - 1].isspace():
+            while start > done and not text[start - 1].isspace():
                 start -= 1
-            while end < high and not text[end].isspace():
+            while end < len(text) and not text[end].isspace():
                 end += 1
-            start -= start > low and text[start - 1] == " " and bool(_MARK.match(text, start))
-            end += end < high and text[end] == " " and bool(_MARK.match(text, max(start, end - 4)))
-        if wide and start <= wide[-1][1]:
+            start -= start > done and text[start - 1] == " " and bool(_MARK.match(text, start))
+            end += end < len(text) and text[end] == " " and bool(_MARK.match(text, max(start, end - 4)))
+        if wide and start <= done:
             wide[-1] = (wide[-1][0], end)
         else:
             wide.append((start, end))
@@ -174,28 +184,25 @@ def _features(span: str, groups: list[str], before: str, after: str, mail: bool)
     return [_AT[x] for x in on]
 
 
-@dataclass
-class Lattice:
-    """A region's tokens and candidate segments: begin and end token, type, features."""
-
-    n: int
-    offsets: list[int]
-    begin: np.ndarray
-    end: np.ndarray
-    kind: np.ndarray
-    features: np.ndarray
+class Region:
+    """A region's tokens and, by the token that it begins with, its candidate segments, which meet none of blocked."""
 
+    def __init__(self, text: str, start: int, end: int, blocked: list[Span] = ()):
+        self.text = text
+        self.tokens = _TOKEN.findall(text, start, end)
+        self.offsets = array("q", accumulate(map(len, self.tokens), initial=start))
+        self.blocked = bytearray(len(self.tokens))
+        for a, b, _ in blocked:
+            low, high = bisect_right(self.offsets, a) - 1, bisect_left(self.offsets, b)
+            for i in range(max(low, 0), min(high, len(self.tokens))):
+                self.blocked[i] = 1
 
-def lattice(text: str, start: int, end: int, blocked: list[Span] = ()) -> Lattice:
-    """The candidates in text[start:end] that meet none of blocked."""
-    tokens = _TOKEN.findall(text[start:end])
-    offsets = [start]
-    for t in tokens:
-        offsets.append(offsets[-1] + len(t))
-    rows: list[tuple[int, int, int, list[int]]] = []
-    for i, first in enumerate(tokens):
+    def candidates(self, i: int) -> Iterator[tuple[int, tuple[int, ...], list[int]]]:
+        """End token, kinds and features of each candidate that begins with token i."""
+        text, tokens, offsets = self.text, self.tokens, self.offsets
+        first = tokens[i]
         if not (first[0].isdigit() and first.isascii() or first in "+(" or first[0].isalpha() and first.isascii()):
-            continue
+            return
         numeric, mail, marks, digits = True, True, 0, []
         for j in range(i, min(len(tokens), i + LONGEST)):
             t = tokens[j]
@@ -206,24 +213,93 @@ def lattice(text: str, start: int, end: int, blocked: list[Span] = ()) -> Lattic
             marks += is_mark
             spaced = t == " " and (j + 1 < len(tokens) and len(tokens[j + 1]) == 4 and tokens[j + 1][0] in "([" or j > i and len(tokens[j - 1]) == 4 and tokens[j - 1][0] in "([")
             mail = mail and (t.isascii() and t.isalnum() or t in _MAIL or is_mark or spaced) and marks <= 1
-            if not (numeric or mail):
-                break
-            a, b = offsets[i], offsets[j + 1]
-            if any(x[0] < b and a < x[1] for x in blocked):
-                break
+            if not (numeric or mail) or self.blocked[j]:
+                return
             if t in _SEPARATORS or t == "+" or is_mark:
                 continue
+            a, b = offsets[i], offsets[j + 1]
             before, after = text[a - 1 : a], text[b : b + 1]
-            if numeric and sum(map(len, digits)) >= 7 or numeric and len(digits) == 4 and text[a:b].count(".") == 3:
-                own = _features(text[a:b], digits, before, after, False)
-                rows += [(i, j + 1, k, own) for k in (1, 2, 3)]
-            elif mail and marks and tokens[i] not in "+(" and "." in tokens[i:j]:
-                rows.append((i, j + 1, 0, _features(text[a:b], digits, before, after, True)))
+            if numeric and (sum(map(len, digits)) >= 7 or len(digits) == 4 and text[a:b].count(".") == 3):
+                yield j + 1, (1, 2, 3), _features(text[a:b], digits, before, after, False)
+            elif mail and marks and first not in "+(" and "." in tokens[i:j]:
+                yield j + 1, (0,), _features(text[a:b], digits, before, after, True)
+
+
+@dataclass
+class Lattice:
+    """A whole region's candidate segments: begin and end token, type, features. For training, whose texts are short."""
+
+    n: int
+    offsets: array
+    begin: np.ndarray
+    end: np.ndarray
+    kind: np.ndarray
+    features: np.ndarray
+
+
+def lattice(text: str, start: int, end: int, blocked: list[Span] = ()) -> Lattice:
+    """The candidates in text[start:end] that meet none of blocked."""
+    region = Region(text, start, end, blocked)
+    rows = [(i, j, k, own) for i in range(len(region.tokens)) for j, kinds, own in region.candidates(i) for k in kinds]
     rows.sort(key=lambda r: r[1])
     x = np.zeros((len(rows), len(FEATURES)))
     for r, row in enumerate(rows):
         x[r, row[3]] = 1
-    return Lattice(len(tokens), offsets, *(np.array([r[c] for r in rows], np.int64) for c in range(3)), x)
+    return Lattice(len(region.tokens), region.offsets, *(np.array([r[c] for r in rows], np.int64) for c in range(3)), x)
+
+
+def _plus(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))."""
+    low, high = (x, y) if x < y else (y, x)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def decode(region: Region, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Begin and end token, kind and marginal probability of the segments of the best segmentation.
+
+    Ties go to fewer and earlier segments. The candidates of WINDOW tokens are held at a time; beside them a token
+    costs some numbers, so a region may be as long as its text.
+    """
+    n, rows = len(region.tokens), [row.tolist() for row in weights]
+    held: dict[int, list] = {}
+
+    def scored(i: int) -> list[tuple[int, int, float]]:
+        window = i // WINDOW
+        if window not in held:
+            held.clear()
+            held[window] = [[(j, k, sum([rows[k][x] for x in own])) for j, kinds, own in region.candidates(t) for k in kinds] for t in range(window * WINDOW, min(n, (window + 1) * WINDOW))]
+        return held[window][i % WINDOW]
+
+    forward, value = array("d", [-math.inf]) * (n + 1), array("d", [-math.inf]) * (n + 1)
+    origin, kind, gain = array("q", [-1]) * (n + 1), array("b", [-1]) * (n + 1), array("d", [0.0]) * (n + 1)
+    forward[0] = value[0] = 0.0
+    for i in range(n + 1):
+        if i:
+            forward[i] = _plus(forward[i], forward[i - 1])
+            if value[i] <= value[i - 1] + 1e-12:
+                value[i], origin[i] = value[i - 1], -1
+        if i < n:
+            for j, k, score in scored(i):
+                forward[j] = _plus(forward[j], forward[i] + score)
+                if value[i] + score > value[j] + 1e-12:
+                    value[j], origin[j], kind[j], gain[j] = value[i] + score, i, k, score
+    picked, j = [], n
+    while j:
+        if origin[j] < 0:
+            j -= 1
+        else:
+            picked.append((origin[j], j, kind[j], gain[j]))
+            j = origin[j]
+    if not picked:
+        return []
+    backward = array("d", [-math.inf]) * (n + 1)
+    backward[n] = 0.0
+    for i in range(n - 1, -1, -1):
+        total = backward[i + 1]
+        for j, _, score in scored(i):
+            total = _plus(total, backward[j] + score)
+        backward[i] = total
+    return [(i, j, k, math.exp(forward[i] + score + backward[j] - forward[n])) for i, j, k, score in picked[::-1]]
 
 
 def marginals(lat: Lattice, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -246,26 +322,6 @@ def marginals(lat: Lattice, weights: np.ndarray) -> tuple[np.ndarray, float]:
     return np.exp(forward[lat.begin] + score + backward[lat.end] - total), float(total)
 
 
-def best(lat: Lattice, weights: np.ndarray) -> list[int]:
-    """The candidates of the best segmentation; ties go to fewer and earlier segments."""
-    score = np.einsum("ij,ij->i", lat.features, weights[lat.kind]) if len(lat.kind) else np.zeros(0)
-    value, back = [0.0] * (lat.n + 1), [-1] * (lat.n + 1)
-    cut = np.searchsorted(lat.end, np.arange(lat.n + 2))
-    for j in range(1, lat.n + 1):
-        value[j] = value[j - 1]
-        for c in range(cut[j], cut[j + 1]):
-            if value[lat.begin[c]] + score[c] > value[j] + 1e-12:
-                value[j], back[j] = value[lat.begin[c]] + float(score[c]), c
-    out, j = [], lat.n
-    while j:
-        if back[j] < 0:
-            j -= 1
-        else:
-            out.append(back[j])
-            j = int(lat.begin[back[j]])
-    return out[::-1]
-
-
 def fit(examples: list[tuple[str, list[Span]]], epochs: int = 30, rate: float = 0.5, ridge: float = 0.02) -> np.ndarray:
     """Weights (a row a kind) that make the spans of the examples likely."""
     data = []
@@ -338,27 +394,24 @@ def generated(n: int = 960, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from generated examples and at most `sample` documents with an anchor, the first by a hash of doc_id."""
-    chosen = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("doc_id", "text").orderBy("doc_id").limit(2 * sample).collect()
-    return fit(generated() + [(r[1], base_spans(r[1])) for r in rows])
+    """Weights from generated examples and at most `sample` documents of up to SAMPLE_BYTES with an anchor, the first by a
+    hash of doc_id. Repeated rows count once."""
+    rows = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias(f"{OWN}hash"))
+    chosen = rows.groupBy("doc_id", f"{OWN}hash").agg(F.lit(1)).select("doc_id", f"{OWN}hash").orderBy(F.xxhash64("doc_id"), "doc_id", f"{OWN}hash").limit(sample)
+    texts = rows.join(F.broadcast(chosen), ["doc_id", f"{OWN}hash"], "left_semi").groupBy("doc_id", f"{OWN}hash").agg(F.min("text").alias("text"))
+    return fit(generated() + [(r["text"], base_spans(r["text"])) for r in texts.orderBy("doc_id", f"{OWN}hash").collect()])
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """The spans of the field's best segmentation that are probable enough and meet no base span."""
     found: list[Span] = []
-    at = 0
+    ends = list(accumulate((s[1] for s in base), max))  # the largest end so far
+    starts = [s[0] for s in base]
     for start, end in regions(text):
-        while at < len(base) and base[at][1] <= start:
-            at += 1
-        near = [s for s in base[at : at + 64] if s[0] < end]
-        if len(near) == 64:
-            near = [s for s in base if s[0] < end and start < s[1]]
-        lat = lattice(text, start, end, near)
-        if len(lat.kind):
-            picked = best(lat, weights)
-            sure = marginals(lat, weights)[0] if picked else ()
-            found += [(lat.offsets[lat.begin[c]], lat.offsets[lat.end[c]], KINDS[lat.kind[c]]) for c in picked if sure[c] >= ADD_FROM]
+        near = base[bisect_right(ends, start) : bisect_left(starts, end)]
+        region = Region(text, start, end, near)
+        found += [(region.offsets[i], region.offsets[j], KINDS[k]) for i, j, k, sure in decode(region, weights) if sure >= ADD_FROM]
     return found
 
 

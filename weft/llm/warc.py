@@ -235,8 +235,9 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
                 row, size = held.pop(), 0
                 while row is not None and size < ARCHIVE_BYTES:
                     body = (row["html"] or "").encode()
-                    size += len(body)
-                    yield _key(row["url"]), record(row["page_id"], row["url"], body, row["payload_digest"], row["refers_to"], row["record_type"] == "revisit")
+                    raw = record(row["page_id"], row["url"], body, row["payload_digest"], row["refers_to"], row["record_type"] == "revisit")
+                    size += len(raw)  # a record is never empty, so the index, too, is bounded
+                    yield _key(row["url"]), raw
                     row = next(rows, None)
                 held.append(row)
 
