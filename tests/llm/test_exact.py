@@ -51,6 +51,22 @@ def test_exact_dedup(spark):
     assert exact_dedup.annotate(docs.limit(0)).count() == 0
 
 
+def test_one_of_repeated_rows_stays(spark):
+    """Columns of any type pass through; of rows equal in doc_id and text one stays, whatever the order of rows."""
+    rows = [(7, "x", [{"a": i % 2}], (1, {"k": 1})) for i in range(5)] + [(7, "x", None, None)] * 2500 + [(3, "x", [], None), (None, None, None, None), (None, "", None, None), (8, "y", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<map<string,int>>, own struct<n:int,m:map<string,int>>")
+    seen = set()
+    for parts in (1, 5):
+        got = exact_dedup.annotate(docs.repartition(parts)).collect()
+        assert len(got) == len(rows)
+        kept = [r for r in got if r["kept"]]
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (7, "x"), (8, "y")]
+        assert all(r["group_size"] == 2506 and r["keep_id"] == 7 for r in got if r["text"] == "x")
+        assert sum(r["tags"] is None and r["text"] == "x" for r in got) == 2500
+        seen.add(str(next(r["tags"] for r in kept if r["doc_id"] == 7)))
+    assert len(seen) == 1
+
+
 def test_mixing_meets_targets(spark):
     rows = []
     for s, n in (("a", 400), ("b", 300), ("c", 40), (None, 200), ("z", 3)):

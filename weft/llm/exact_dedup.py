@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import OWN, table, text_or_empty, without
@@ -69,7 +69,7 @@ def annotate(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. Of equal texts the row with the largest doc_id is kept; a null doc_id
     is below all others. Of repeated rows (same doc_id and text) one is kept, the first by a hash of
-    all their columns. An empty table gives an empty result. Columns of any other name pass through.
+    all their columns; of rows equal in all columns, any one. An empty table gives an empty result. Columns of any other name pass through.
     """
     spark = docs.sparkSession
     docs = without(docs, OUTPUTS)
@@ -85,13 +85,7 @@ def annotate(docs: DataFrame) -> DataFrame:
     groups = materialize(digests.agg(one_text.cast("long").alias("keep_id"), F.sum("group_size").alias("group_size")).where("group_size > 1"), "groups")
     rows = base.withColumn(SHA, F.sha2(text_or_empty(), 256)).join(sized_broadcast(groups), [FP, SHA], "left")
     rows = rows.withColumn("kept", F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    same_rows = candidates.groupBy("doc_id", FP).count().where("count > 1").limit(1)
-    if not same_rows.isEmpty():
-        # the winner among repeated rows; all other rows have a key of their own, so that none is a hot one
-        order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-        rows = rows.withColumn(KEY, F.xxhash64(F.col(SHA), F.when(~F.col("kept"), F.rand(0)), F.col("doc_id")))
-        place = F.row_number().over(Window.partitionBy(KEY, "doc_id", "kept").orderBy(order))
-        rows = rows.withColumn(KEY, place).withColumn("kept", F.col("kept") & (F.col(KEY) == 1)).drop(KEY)
+    rows = _one_kept(rows, materialize(candidates.groupBy("doc_id", FP).count().where("count > 1").select(F.col("doc_id").alias(f"{OWN}id"), F.col(FP).alias(f"{OWN}print")), "repeated-rows"))
     return (
         rows.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
@@ -100,6 +94,35 @@ def annotate(docs: DataFrame) -> DataFrame:
     )
 
 
+def _one_kept(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """rows with kept true for one only of the rows of each doc_id and fingerprint in repeated.
+
+    Rows that are equal in all columns are counted before they are moved, and spread out again; so the choice depends
+    on no order of rows, and a row that is there very often is no hot group. Columns that hold a map are compared by
+    their JSON.
+    """
+    if repeated.isEmpty():
+        return rows
+    held = sized_broadcast(repeated)
+    same = F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & (F.col(FP) == F.col(f"{OWN}print")) & F.col("kept")
+    again = rows.join(held, same, "left_semi")
+    maps = [c for c, t in rows.dtypes if "map<" in t]
+    plain = [f"`{c}`" for c in rows.columns if c not in maps]
+    as_json = {f"{KEY}{i}": F.to_json(F.struct(f"`{c}`")) for i, c in enumerate(maps)}
+    row = F.xxhash64(*plain, *as_json)
+    counted = again.withColumns(as_json).groupBy(*plain, *as_json).agg(F.count(F.lit(1)).alias(f"{OWN}rows"), *[F.first(f"`{c}`").alias(c) for c in maps])
+    counted = materialize(counted.withColumn(f"{OWN}row", row).drop(*as_json), "repeated-counts")
+    first = counted.groupBy(F.col("doc_id").alias(f"{OWN}id"), F.col(FP).alias(f"{OWN}print")).agg(F.min(f"{OWN}row").alias(f"{OWN}first"))
+    counted = counted.join(first, F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")) & (F.col(FP) == F.col(f"{OWN}print")))
+    most = 1000  # an array is never longer
+    counted = counted.withColumn(f"{OWN}thousand", F.explode(F.sequence(F.lit(0), F.floor((F.col(f"{OWN}rows") - 1) / most))))
+    left = F.least(F.lit(most), F.col(f"{OWN}rows") - F.col(f"{OWN}thousand") * most)
+    counted = counted.withColumn(f"{OWN}n", F.explode(F.sequence(F.lit(1).cast("long"), left.cast("long"))))
+    one = (F.col(f"{OWN}row") == F.col(f"{OWN}first")) & (F.col(f"{OWN}thousand") == 0) & (F.col(f"{OWN}n") == 1)
+    spread = counted.withColumn("kept", one).select([f"`{c}`" for c in rows.columns])
+    return rows.join(held, same, "left_anti").union(spread)
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The kept rows of docs, with the columns of docs."""
     return annotate(docs).where("kept").select([f"`{c}`" for c in docs.columns])
