@@ -5,7 +5,7 @@ words are symbols of their own; every other word belongs to one of TAIL classes,
 is drawn within its class in proportion to its count plus one, with one share left for unseen words. A
 document is its words' symbols and the end. Latent states move by a transition matrix and emit symbols.
 
-Baum-Welch: a bounded sample of training documents gives a start; then each round takes expected counts
+Baum-Welch: a bounded sample of training documents gives a start; then up to ROUNDS rounds take expected counts
 over all training documents, summed within partitions and then across them, and re-estimates. Forward
 and backward recursions are scaled, so that a text of any length has an exact likelihood, and run over
 many documents at a time, sorted by length. Symbols are written down once and read by every round.
@@ -27,14 +27,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table
+from weft.llm.common import releasing, table
 from weft.runtime import bound_batches, materialize
 
 STATES, OWN_CLASS, TAIL = 8, 8192, 2048
 #: Words whose counts are broadcast at most, words that a partition counts before it emits them.
 HEAD, FLUSH = 1_000_000, 600_000
-#: Documents and rounds of the start, and rounds over all training documents.
-START_DOCS, START_ROUNDS, ROUNDS = 256, 12, 2
+#: Documents of the start, their tokens at most, and its rounds. It only breaks the symmetry between states.
+START_DOCS, START_TOKENS, START_ROUNDS = 256, 20_000, 12
+#: Rounds over all training documents at most, and the gain in log likelihood, relative to it, from which there is another.
+ROUNDS, GAIN = 3, 1e-3
 #: Tokens of one pass of the recursions, and tokens that are sorted by length together.
 GROUP, SORTED = 400_000, 6_000_000
 #: Added to expected counts: emissions (spread as the symbols are), transitions and starts.
@@ -96,7 +98,7 @@ def count(train: DataFrame) -> tuple[Counts, DataFrame]:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([docs], pa.int64())], ["hash", "tail", "n"])
 
-    found = train.select("text").mapInArrow(words, "hash long, tail int, n long").groupBy("hash", "tail").agg(F.sum("n").alias("n"))
+    found = train.select("text").mapInArrow(releasing(words), "hash long, tail int, n long").groupBy("hash", "tail").agg(F.sum("n").alias("n"))
     found = materialize(found, "counts")
     documents = found.where("tail = -1").agg(F.sum("n")).first()[0] or 0
     found = found.where("tail >= 0")
@@ -187,7 +189,7 @@ def encode(docs: DataFrame, counts: Counts) -> DataFrame:
             arrays = [pa.array(c[0], pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.float64()), pa.array(c[5], pa.binary()), pa.array(list(c[6]), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "tail_logs", "symbols", "unseen"])
 
-    return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(run, ENCODED), "symbols")
+    return materialize(docs.select("doc_id", "held_out", "text").mapInArrow(releasing(run), ENCODED), "symbols")
 
 
 # --- the model -----------------------------------------------------------------------------------
@@ -308,7 +310,10 @@ def begin(sequences: list[np.ndarray], prior: np.ndarray, states: int = STATES,
 
 
 def train(encoded: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over the rows of encoded that aren't held out."""
+    """Baum-Welch over the rows of encoded that aren't held out, until a round gains less than GAIN or after `rounds`.
+
+    Expected counts are summed from 32-bit emissions; scores use 64 bits throughout.
+    """
     spark = encoded.sparkSession
     bound_batches(spark)
     symbols = np.ones(SYMBOLS)
@@ -317,25 +322,30 @@ def train(encoded: DataFrame, counts: Counts, states: int = STATES, rounds: int
     symbols[END] += counts.documents
     prior = symbols / symbols.sum()
     rows = encoded.where("NOT held_out")
-    chosen = rows.select("uid", F.xxhash64("doc_id").alias("h")).orderBy("h", "uid").limit(START_DOCS)
+    chosen = rows.where(F.col("n_tokens") <= START_TOKENS).select("uid", F.xxhash64("doc_id").alias("h")).orderBy("h", "uid").limit(START_DOCS)
     sample = rows.join(F.broadcast(chosen.select("uid")), "uid", "left_semi").select("uid", "symbols").toArrow().sort_by("uid")
     hmm = begin([np.frombuffer(s.as_py(), np.uint16) for s in sample.column("symbols")], prior, states)
+    before = -np.inf
     for _ in range(rounds if counts.documents else 0):
         held = spark.sparkContext.broadcast(hmm)  # SYMBOLS x states numbers
 
         def sums(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total = None
             for sequences, _ in _sequences(batches):
-                own = np.concatenate([x.ravel() for x in expected(held.value, sequences)[:3]])
+                own = np.concatenate([np.ravel(x) for x in expected(held.value, sequences)])
                 total = own if total is None else total + own
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "x"])
 
-        found = rows.select("symbols").mapInArrow(sums, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # at most as many rows as parameters
-        flat = np.zeros(states + states * states + SYMBOLS * states)
+        found = rows.select("symbols").mapInArrow(releasing(sums), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # at most as many rows as parameters
+        held.unpersist()
+        flat = np.zeros(states + states * states + SYMBOLS * states + 1)  # the last is the log likelihood
         flat[found.column("at").to_numpy()] = found.column("x").to_numpy()
-        hmm = estimate(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(SYMBOLS, states), prior)
+        hmm = estimate(flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 : -1].reshape(SYMBOLS, states), prior)
+        if flat[-1] - before <= GAIN * abs(flat[-1]):
+            break
+        before = flat[-1]
     return hmm
 
 
@@ -356,7 +366,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndar
 def score(encoded: DataFrame, counts: Counts, rest: DataFrame, hmm: Hmm) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of encoded."""
     spark = encoded.sparkSession
-    held = spark.sparkContext.broadcast(hmm)
+    held = spark.sparkContext.broadcast(Hmm(*(x.astype(np.float64) for x in (hmm.start, hmm.move, hmm.emit))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sequences, own in _sequences(batches):
@@ -365,7 +375,7 @@ def score(encoded: DataFrame, counts: Counts, rest: DataFrame, hmm: Hmm) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(logs[at : at + batch.num_rows])], ["uid", "states"])
                 at += batch.num_rows
 
-    states = encoded.select("uid", "symbols").mapInArrow(run, "uid long, states double")
+    states = encoded.select("uid", "symbols").mapInArrow(releasing(run), "uid long, states double")
     words = encoded.select(F.col("uid").alias("u"), F.explode("unseen").alias("hash"))
     log10 = F.log10(F.col("n") + 1)
     words = words.join(rest, "hash").groupBy("u").agg(F.sum(log10).alias("more"), F.count(F.lit(1)).alias("also"))
