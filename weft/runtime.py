@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side whose rows are a few dozen bytes may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Rows in an Arrow batch: bounds a Python worker's memory when some texts are very long.
-ARROW_ROWS = 1_000
+#: Rows and bytes in an Arrow batch: bound a Python worker's memory when some texts are very long.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -35,10 +36,13 @@ def session(master: str = "local[8]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset and all
+    run in one process. A cluster without that setting is refused, as its executors see no common folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="weft-")
@@ -67,10 +71,15 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch length to rows, unless it is lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batches to rows and ARROW_BYTES, unless they are lower already.
+
+    The settings stay, as plans that are run later need them too.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, "-1")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def power_of_two(n: float) -> int:
