@@ -77,7 +77,7 @@ def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "-1")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
