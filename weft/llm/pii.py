@@ -100,7 +100,7 @@ _MAIL = frozenset("._%+-")
 FEATURES = (
     "mail", "mail_marked", "mail_dots", "quad", "quad_wide", "luhn", "card_length", "card_groups", "plain_run", "plus", "zeros", "paren", "digits_7_9",
     "digits_10_12", "digits_13_15", "digits_16_19", "digits_more", "one_group", "two_groups", "many_groups", "spaces", "dashes", "dots", "short_groups",
-    "alnum_before", "alnum_after", "sep_before", "sep_after", "double_sep", "date", "first_group_wide", "bias",
+    "alnum_before", "alnum_after", "sep_before", "sep_after", "double_sep", "date", "first_group_wide", "goes_on", "zeros_grouped", "bias",
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}")
@@ -137,6 +137,9 @@ def _features(span: str, groups: list[str], before: str, after: str, mail: bool)
     on = ["bias"]
     if before.isalnum():
         on.append("alnum_before")
+    if len(after) > 1 and after[0] in " .-" and after[1].isalnum() and (after[1].isdigit() or mail and after[0] != " "):
+        on.append("goes_on")
+    after = after[:1]
     if after.isalnum():
         on.append("alnum_after")
     if before in "-.@+_/=\"'" and before:
@@ -168,6 +171,8 @@ def _features(span: str, groups: list[str], before: str, after: str, mail: bool)
         on.append("plus")
     if digits.startswith("00") and groups[0].startswith("00"):
         on.append("zeros")
+        if len(groups) > 2 and min(map(len, groups)) > 1:
+            on.append("zeros_grouped")
     if "(" in span and span.find(")") > span.find("("):
         on.append("paren")
     on.append("digits_7_9" if n < 10 else "digits_10_12" if n < 13 else "digits_13_15" if n < 16 else "digits_16_19" if n < 20 else "digits_more")
@@ -218,7 +223,7 @@ class Region:
             if t in _SEPARATORS or t == "+" or is_mark:
                 continue
             a, b = offsets[i], offsets[j + 1]
-            before, after = text[a - 1 : a], text[b : b + 1]
+            before, after = text[a - 1 : a], text[b : b + 2]
             if numeric and (sum(map(len, digits)) >= 7 or len(digits) == 4 and text[a:b].count(".") == 3):
                 yield j + 1, (1, 2, 3), _features(text[a:b], digits, before, after, False)
             elif mail and marks and first not in "+(" and "." in tokens[i:j]:
