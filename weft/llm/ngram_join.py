@@ -49,7 +49,7 @@ WORDS, PERCENT, LOSS = 5, 80, 5
 FREQUENT, MOST_FREQUENT, MOST_PICKED = 16, 2_000_000, 2_000_000
 #: Bytes of text for one block, tokens held before blocks are written, sets in a list that are all compared at once.
 BLOCK_BYTES, FLUSH, SMALL_LIST = 16 << 20, 1_000_000, 3
-#: Rounds at most in which lists of several components are compared with one member, pairs across components for each
+#: Rounds at most, while they find links, in which lists of several components are compared with one member, pairs across components for each
 #: member up to which all are compared at once, members of a list's largest component in one part of it.
 STAR_ROUNDS, FEW_ACROSS, PART = 6, 64, 2048
 #: 64-bit words of the parity bitmap of a set's frequent tokens.
@@ -533,22 +533,27 @@ def components(docs: DataFrame) -> DataFrame:
     sets = _sets(texts, needed)
     links = materialize(_verified(sets, pairs), "links")
     component = materialize(connected_components(links, "a", "b"), "components")
-    for turn in range(STAR_ROUNDS + 1):
-        named = members.join(component, members["sid"] == component["node"], "left").select("name", "sid", "n", "r", F.coalesce("component", "sid").alias("component"))
-        members, lists = _of_several(materialize(named, "named"))
-        if lists.isEmpty():
-            break
-        star = turn < STAR_ROUNDS and _many_across(lists)
+    turn, changed, star = 0, True, True
+    while True:
+        if changed:
+            named = members.join(component, members["sid"] == component["node"], "left").select("name", "sid", "n", "r", F.coalesce("component", "sid").alias("component"))
+            parted, lists = _of_several(materialize(named, "named"))
+            members = parted.drop("component")
+            if lists.isEmpty():
+                break
+        star = star and turn < STAR_ROUNDS and _many_across(lists)
         if star:
-            across = _with_center(members, turn)
+            across = _with_center(parted, turn)
         else:
-            across = _in_parts(members, lists, materialize(sets.join(sized_broadcast(members.select("sid").distinct()), "sid", "left_semi").mapInArrow(_prints(bits, frequent), "sid long, print binary"), "prints"))
+            own = sets.join(sized_broadcast(parted.select("sid").distinct()), "sid", "left_semi")
+            across = _in_parts(parted, lists, materialize(own.mapInArrow(_prints(bits, frequent), "sid long, print binary"), "prints"))
         more = materialize(_verified(sets, materialize(across, "across")), "links")
-        members = members.drop("component")
-        if not more.isEmpty():
+        changed = not more.isEmpty()
+        if changed:
             component = materialize(_joined(component, more), "components")
         if not star:
             break
+        turn, star = turn + 1, changed  # centers that find nothing are no way to fewer components
     frequent.unpersist()
     return _named(names, component)
 
