@@ -121,6 +121,14 @@ def test_streams(spark, tmp_path):
     stream = watch.read_changes(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, 1)
     got = watch.rebuild(spark, stream, "source_file", stream.schema)
     assert sorted(r["source_file"] for r in got.collect()) in (["a", "b"],)
+    base = f"file://{tmp_path}/graph"
+    first = watch.rebuild(spark, stream, "source_file", stream.schema, base)
+    assert {(r["source_file"], r["id"]) for r in first.collect()} == {("a", "3"), ("b", "2")}
+    spark.createDataFrame([("c", "4"), ("b", "5")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b2")
+    again = watch.read_changes(spark, f"{tmp_path}/in/*", stream.schema, 1)
+    second = watch.rebuild(spark, again, "source_file", stream.schema, base)  # goes on from the newest version
+    assert {(r["source_file"], r["id"]) for r in second.collect()} == {("a", "3"), ("b", "5"), ("c", "4")}
+    assert watch._versions(spark, base) == [1, 2]
     ts = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:00:02"), ("u", "2024-01-01 00:00:09")], "k string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["changes"] for r in watch.quiet_sessions(ts, "k").collect()) == [1, 2]
 

@@ -146,7 +146,7 @@ def fold_rationale(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     told = edges.where("relation = 'rationale_for'").join(reasons, F.col("source") == F.col("reason"))
     folded = told.groupBy("target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reason", "words"))), lambda x: x["words"]), "\n").alias("rationale"))
     kept = nodes.where("file_type <> 'rationale'").join(folded, F.col("id") == F.col("target"), "left").drop("target")
-    out = edges.join(reasons, (F.col("source") == F.col("reason")) | (F.col("target") == F.col("reason")), "left_anti")
+    out = edges.join(reasons, F.col("source") == F.col("reason"), "left_anti").join(reasons, F.col("target") == F.col("reason"), "left_anti")
     return kept, out
 
 

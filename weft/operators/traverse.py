@@ -14,9 +14,12 @@ from weft.runtime import materialize, sized_broadcast
 HUB_FLOOR = 50
 
 
-def hub_cutoff(nodes: DataFrame, edges: DataFrame) -> int:
-    """max(HUB_FLOOR, the degree at place int(0.99 n) in ascending order), found from counts by degree."""
-    known = degrees(edges)
+def hub_cutoff(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> int:
+    """max(HUB_FLOOR, the degree at place int(0.99 n) in ascending order), found from counts by degree.
+
+    known: the degrees of edges, if they are at hand.
+    """
+    known = degrees(edges) if known is None else known
     total, linked = nodes.count(), known.count()
     by_degree = known.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("degree"))
     if not total:
@@ -38,9 +41,11 @@ def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, cu
 
     Nodes above the hub cutoff are reached but not walked through, unless they are seeds.
     """
-    cutoff = hub_cutoff(nodes, edges) if cutoff is None else cutoff
-    links = both_ways(edges)
-    hubs = degrees(edges).where(F.col("degree") > cutoff).select(F.col("id").alias("u"))
+    known = materialize(degrees(edges), "degrees")
+    cutoff = hub_cutoff(nodes, edges, known) if cutoff is None else cutoff
+    ends = materialize(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u <> v"), "ends")
+    links = ends.union(ends.select("v", "u"))  # with repeats: only what a hop finds is made distinct
+    hubs = known.where(F.col("degree") > cutoff).select(F.col("id").alias("u"))
     frontier = materialize(seeds.select("id").distinct(), "frontier")
     seen = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, min(depth, 6) + 1):

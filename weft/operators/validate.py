@@ -96,7 +96,7 @@ def diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     undirected = good.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).count()
     undirected = undirected.agg(F.count(F.lit(1)).alias("undirected_pairs"), F.sum(F.col("count") - 1).alias("undirected_collapsed"))
     exact = edges.groupBy(*edges.columns).count().agg(F.sum(F.col("count") - 1).alias("exact_duplicates"))
-    return flags.join(pairs).join(undirected).join(exact).select([F.col(c).cast("long").alias(c) for c in (*flags.columns, *pairs.columns, *undirected.columns, *exact.columns)])
+    return flags.join(pairs).join(undirected).join(exact).select([F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in (*flags.columns, *pairs.columns, *undirected.columns, *exact.columns)])
 
 
 def edge_variants(edges: DataFrame) -> DataFrame:

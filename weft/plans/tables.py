@@ -99,7 +99,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_PATHS = [
     ("src/core/mod_", "#", ".py"), ("docs/guide/note_", "#", ".md"), ("web/src/view_", "#", ".tsx"), ("tests/unit/test_", "#", ".py"), ("secrets/deploy_", "#", ".yaml"), ("config/api_token_", "#", "_token.json"),
     ("assets/img_", "#", ".png"), ("papers/p", "#", ".pdf"), ("lib/java/Item", "#", "Test.java"), ("bin/run_", "#"), ("media/talk", "#", ".mp4"), ("home/.ssh/key_", "#"), ("srv/handler_", "#", ".go"),
-    ("docs/token_economics_of_recall_", "#", ".md"), ("pkg/.env.example"[:8], "#", ".example"), ("Assets.xcassets/icon.imageset/i", "#", ".pdf"), ("certs/site", "#", ".pem"), ("office/plan_", "#", ".docx"),
+    ("docs/token_economics_of_recall_", "#", ".md"), ("pkg/.env", "#", ".example"), ("Assets.xcassets/icon.imageset/i", "#", ".pdf"), ("certs/site", "#", ".pem"), ("office/plan_", "#", ".docx"),
 ]
 COMMUNITIES_SQL = """communities AS (
 SELECT 'nation:' || n_nationkey AS node_id, n_nationkey AS community FROM nation

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,25 +41,40 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rebuild(spark: SparkSession, stream: DataFrame, key: str, schema) -> DataFrame:
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    """The batch numbers of the whole versions below base, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    whole = [n for n in names if re.fullmatch("v[0-9]+", n) and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in whole)
+
+
+def rebuild(spark: SparkSession, stream: DataFrame, key: str, schema, base: str | None = None) -> DataFrame:
     """The table that a stream of replacements makes: each batch replaces the rows of its keys.
 
-    Each version is a table of its own, written by batch number: a batch that runs again writes the same version again, and
-    readers of the last one are never disturbed.
+    Each version is a table of its own below base, written by batch number: a batch that runs again writes the same version
+    again. The newest version that is whole is what the next batch, and the next run with the same base, goes on from. The
+    one before it stays for its readers; older ones are dropped. Without base the table begins empty, in the shared folder.
     """
-    base = shared_path(spark, "graph")
-    versions: list[int] = []
+    base = base or shared_path(spark, "graph")
+
+    def at(number: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{base}/v{number}")
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{base}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
+        earlier = [v for v in _versions(spark, base) if v < number]
+        old = at(earlier[-1]) if earlier else spark.createDataFrame([], schema)
         new = batch.dropDuplicates()
         none = spark.createDataFrame([], f"{key} {dict(new.dtypes)[key]}")
         incremental_merge(old, new, none, key).write.mode("overwrite").parquet(f"{base}/v{number}")
-        if number not in versions:
-            versions.append(number)
+        for v in earlier[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v{v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     each_batch(stream, merge, f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/v{versions[-1]}") if versions else spark.createDataFrame([], schema)
+    versions = _versions(spark, base)
+    return at(versions[-1]) if versions else spark.createDataFrame([], schema)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
