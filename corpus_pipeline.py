@@ -47,7 +47,7 @@ STAGES = [
     ("piece_codec", encoding),
 ]
 
-#: Trees, hashes and the tokenizer have no SQL form; the tests hold run() against a brute-force version.
+#: Trees, hashes and the tokenizer have no SQL form; the tests hold run() against planted cases, not yet against brute force.
 ORACLE_SQL = None
 
 
