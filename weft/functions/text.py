@@ -197,6 +197,18 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
+    """What a model's call costs, at prices for a million tokens; 0 where a price is not known."""
+    return F.coalesce((tokens_in * price_in + tokens_out * price_out) / 1_000_000, F.lit(0.0))
+
+
+def is_sentence(value: Column) -> Column:
+    """Whether a label reads like prose: 80 characters or 8 words or more, and an end of a sentence or a colon."""
+    trimmed = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
+    long = (F.length(trimmed) >= 80) | (F.coalesce(word_count(trimmed), F.lit(0)) >= 8)
+    return long & trimmed.rlike("[.!?:]")
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+")).cast("long")
 

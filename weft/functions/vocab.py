@@ -89,3 +89,6 @@ CONTEXT_ALIASES = {
     "called": "call", "invoke": "call", "invocation": "call", "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import",
     "imported": "import", "module": "import", "modules": "import", "exports": "export", "exported": "export",
 }
+
+HEADER_EXTENSIONS = (".h", ".hh", ".hpp", ".hxx")
+IMPLEMENTATION_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".m", ".mm")

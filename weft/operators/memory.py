@@ -85,3 +85,9 @@ def pr_impact(pr_files: DataFrame, nodes: DataFrame, communities: DataFrame) ->
     match = match_files(pr_files.select(F.col("path").alias("l")).distinct(), by_file.select(F.col("source_file").alias("r")))
     rows = pr_files.distinct().join(match, F.col("path") == F.col("l")).select("pr", F.col("r").alias("source_file")).distinct().join(by_file, "source_file")
     return rows.groupBy("pr").agg(F.sum("n").alias("nodes"), F.size(F.array_distinct(F.flatten(F.collect_list("cs")))).cast("long").alias("communities"))
+
+
+def still_known(citations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """citations (cite) of nodes that are still there, by id or by label."""
+    names = nodes.select(F.explode(F.array("id", "label")).alias("cite")).where("cite IS NOT NULL").distinct()
+    return citations.join(names, "cite", "left_semi")

@@ -100,6 +100,25 @@ def resolve_citations(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.coalesce("_id", "_by_label")).drop("_id", "_label", "_by_label")
 
 
+def identifiers(name: Column) -> Column:
+    """The identifiers of three characters or more in a name, up to its first bracket, in lower case."""
+    return F.regexp_extract_all(F.lower(F.substring_index(name, "(", 1)), F.lit("[a-z_][a-z0-9_]{2,}"), F.lit(0))
+
+
+def unverified(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """ids of code nodes of which no identifier, of label or id, is in their file's text.
+
+    nodes: id, label, file_type, source_file, confidence. texts: source_file, text. Only nodes that claim to be extracted
+    count (confidence EXTRACTED, empty or null); a file without a text and a node without identifiers tell nothing.
+    """
+    claimed = nodes.where("file_type = 'code' AND source_file <> '' AND coalesce(confidence, '') IN ('', 'EXTRACTED')")
+    names = claimed.select("id", "source_file", F.explode(F.array_distinct(F.concat(identifiers(F.coalesce("label", F.lit(""))), identifiers(F.col("id"))))).alias("name"))
+    # each text is met once for each distinct name in its file, not for each node
+    asked = names.select("source_file", "name").distinct()
+    met = asked.join(texts.select("source_file", F.lower("text").alias("_text")), "source_file").groupBy("source_file", "name").agg(F.bool_or(F.coalesce(F.contains("_text", "name"), F.lit(False))).alias("_in"))
+    return names.join(met, ["source_file", "name"]).groupBy("id").agg(F.bool_or("_in").alias("_in")).where("NOT _in").select("id")
+
+
 def suffixes(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))

@@ -145,6 +145,27 @@ def explain(nodes: DataFrame, edges: DataFrame, node: str, n: int = 20) -> DataF
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("degree"), "id", "direction", "relation"))).select("direction", "relation", "id", "label", "degree", "place")
 
 
+def explain_rest(nodes: DataFrame, edges: DataFrame, node: str, n: int = 20, most: int = 20) -> DataFrame:
+    """direction, source_file and links: a node's links that explain leaves out, by file; the most files with the most links.
+
+    All links are counted by file, then the n that explain shows are taken off, so no task sorts all links of a hub.
+    """
+    file = F.coalesce(F.nullif("source_file", F.lit("")), F.lit("(unknown file)")).alias("source_file")
+    out = edges.where(F.col("source") == node).select(F.lit("out").alias("direction"), "relation", F.col("target").alias("id"), file)
+    into = edges.where(F.col("target") == node).select(F.lit("in"), "relation", "source", file)
+    links = out.union(into).groupBy("direction", "relation", "id").agg(F.min("source_file").alias("source_file")).join(nodes.select("id"), "id", "left_semi")
+    told = links.join(F.broadcast(explain(nodes, edges, node, n).select("direction", "relation", "id")), ["direction", "relation", "id"], "left_anti")  # n rows
+    return told.groupBy("direction", "source_file").agg(F.count(F.lit(1)).alias("links")).orderBy(F.desc("links"), "direction", "source_file").limit(most)
+
+
+def ambiguity(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: the best score, the next one and whether they are within a tenth of the best; null scores where there are none."""
+    best = F.sort_array(F.collect_list("score"), asc=False)  # of two rows
+    two = ranked(nodes, terms, 2).agg(best.alias("_s"))
+    scores = two.select(F.try_element_at("_s", F.lit(1)).alias("top"), F.try_element_at("_s", F.lit(2)).alias("runner"))
+    return scores.withColumn("ambiguous", F.coalesce((F.col("top") - F.col("runner")) / F.col("top") < 0.1, F.lit(False)))
+
+
 def trigram_postings(nodes: DataFrame) -> DataFrame:
     """gram and id for each distinct piece of three characters of a label."""
     p = prepared(nodes)
