@@ -122,3 +122,36 @@ def test_rest_of_an_explanation_and_ambiguous_matches(spark):
     assert search.ambiguity(nodes, ["node"]).first()["ambiguous"]
     assert rows(search.ambiguity(nodes, ["hub"]), "runner", "ambiguous") == [(None, False)]
     assert rows(search.ambiguity(nodes, ["absent"])) == [(None, None, False)]
+
+
+def test_ids_are_rekeyed_once(spark):
+    n = [
+        ("pkg_mod_run", "src/pkg/mod.py", "llm"), ("mod", "src/pkg/mod.py", None), ("src_pkg_mod_run", "src/pkg/mod.py", "llm"), ("mod_x", "src/pkg/mod.py", "ast"), ("claude_claude_x", ".claude/CLAUDE.md", "llm"),
+        ("other", "src/pkg/mod.py", "llm"), ("o_x", "/abs/o.py", "llm"), ("", "a.py", "llm"), ("n", None, "llm"),
+    ]
+    df = spark.createDataFrame(n, "id string, source_file string, origin string")
+    found = identity.rekeyed_ids(df)
+    assert rows(found) == [("mod", "src_pkg_mod"), ("pkg_mod_run", "src_pkg_mod_run")]
+    again = df.join(found, F.col("id") == F.col("old"), "left").withColumn("id", F.coalesce("new", "id"))
+    assert rows(identity.rekeyed_ids(again.select("id", "source_file", "origin"))) == []
+
+
+def test_collided_ids_are_told_apart(spark):
+    n = [("x", "a/b/c.md", None), ("x", "a.b/c.md", None), ("x", "z.md", None), ("x", "", None), ("y", "one.py", None), ("y", "one.py", None), ("m", "p.py", "module"), ("m", "q.py", "module"), (None, "p.py", None)]
+    found = rows(identity.collided_ids(spark.createDataFrame(n, "id string, source_file string, type string")))
+    assert [r[:2] for r in found] == [("x", "a.b/c.md"), ("x", "a/b/c.md"), ("x", "z.md")]
+    new = [r[2] for r in found]
+    assert len(set(new)) == 3 and new[2] == "z_md_x" and all(v.startswith("a_b_c_md_x_") and len(v) == 17 for v in new[:2])
+
+
+def test_manifest_keeps_other_files_and_matching_hashes(spark):
+    from weft.sources.files import merge_manifest
+
+    old = spark.createDataFrame([("same", 1.0, "h", "s"), ("new", 1.0, "h", "s"), ("rest", 1.0, "r", "s"), ("dead", 1.0, "d", "s"), ("out", 1.0, "o", "s"), ("clear", 1.0, "c", "s")], "path string, mtime double, ast_hash string, semantic_hash string")
+    now = spark.createDataFrame([("same", 2.0, "h"), ("new", 2.0, "k"), ("first", 2.0, "f")], "path string, mtime double, hash string")
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    alive = paths("same", "new", "rest", "out", "clear")
+    out = merge_manifest(old, now, alive, "ast", paths("same", "new", "rest", "clear"), paths("clear"))
+    assert rows(out) == [("clear", 1.0, "c", ""), ("first", 2.0, "f", ""), ("new", 2.0, "k", ""), ("rest", 1.0, "r", "s"), ("same", 2.0, "h", "s")]
+    assert rows(merge_manifest(old, now, alive, "semantic"), "path", "ast_hash", "semantic_hash") == [("clear", "c", "s"), ("first", "", "f"), ("new", "h", "k"), ("out", "o", "s"), ("rest", "r", "s"), ("same", "h", "h")]
+    assert rows(merge_manifest(old, now.limit(0), alive.limit(0))) == []

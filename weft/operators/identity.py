@@ -120,3 +120,40 @@ def uses_of_imports(imports: DataFrame, classes: DataFrame) -> DataFrame:
     local = classes.select("file", F.col("id").alias("source")).distinct()
     pairs = local.join(found.distinct(), "file").select("source", "target")
     return pairs.select("*", F.lit("uses").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("weight")).distinct()
+
+
+def rekeyed_ids(nodes: DataFrame) -> DataFrame:
+    """old, new: ids that begin with a former stem of their file, made to begin with its whole path.
+
+    Parsed nodes (origin 'ast'), nodes of files outside the tree and ids that begin with the whole path already keep theirs.
+    The stem with the directory above goes before the bare one. Of an id that is in several files, the last file counts.
+    """
+    path = without_suffix(F.col("source_file"))
+    parts = F.split(path, "/")
+    own, parent = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
+    loose = nodes.where("coalesce(origin, '') <> 'ast' AND source_file <> '' AND NOT startswith(source_file, '/') AND id <> ''")
+    rows = loose.select("id", "source_file", T.norm_id(path).alias("_stem"), T.norm_id(F.col("id")).alias("_norm"), T.norm_id(F.concat(parent, F.lit("."), own)).alias("_parent"), T.norm_id(own).alias("_own"))
+    rows = rows.where("_stem <> '' AND _norm <> _stem AND NOT startswith(_norm, concat(_stem, '_'))")
+
+    def moved(old: str) -> Column:
+        rest = F.expr(f"substring(_norm, length({old}) + 2)")
+        fits = (F.col(old) != "") & (F.col(old) != F.col("_stem"))
+        return F.when(fits & (F.col("_norm") == F.col(old)), F.col("_stem")).when(fits & F.col("_norm").startswith(F.concat(old, F.lit("_"))), F.concat("_stem", F.lit("_"), rest))
+
+    new = rows.select(F.col("id").alias("old"), "source_file", F.coalesce(moved("_parent"), moved("_own")).alias("new")).where("new IS NOT NULL AND new <> old")
+    return new.groupBy("old").agg(F.max_by("new", "source_file").alias("new"))
+
+
+def collided_ids(nodes: DataFrame) -> DataFrame:
+    """id, source_file, new: ids that nodes of several files share, told apart by the file's path.
+
+    Where two paths give the same new id, digits of the path's hash follow. Nodes without a file keep their id, and so do
+    modules and namespaces (column type, if there is one), which many files may share.
+    """
+    own = nodes.where("id <> '' AND coalesce(type, '') NOT IN ('module', 'namespace')") if "type" in nodes.columns else nodes.where("id <> ''")
+    keys = own.select("id", F.coalesce("source_file", F.lit("")).alias("source_file")).distinct()
+    shared = keys.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
+    named = keys.where("source_file <> ''").join(shared, "id", "left_semi").withColumn("_plain", T.norm_id(F.concat_ws("_", "source_file", "id")))
+    again = named.groupBy("id", "_plain").agg(F.count(F.lit(1)).alias("_n"))
+    salt = F.substring(F.sha1(F.col("source_file").cast("binary")), 1, 6)
+    return named.join(again, ["id", "_plain"]).select("id", "source_file", F.when(F.col("_n") > 1, F.concat("_plain", F.lit("_"), salt)).otherwise(F.col("_plain")).alias("new"))

@@ -10,6 +10,7 @@ from weft.operators import resolve as R
 from weft.operators.build import global_prefix
 from weft.plans.registry import query
 from weft.plans.tables import EDGES_SQL, FILES_SQL, NODES_SQL, edges, files, nodes, table
+from weft.runtime import materialize
 
 
 def _norm(sql: str) -> str:
@@ -109,3 +110,44 @@ def still_known(spark, d):
     n, turn = F.col("event_id").cast("string"), F.col("event_id") % 3
     cite = F.when(turn == 0, F.concat(F.lit("customer:"), F.col("user_id").cast("string"))).when(turn == 1, F.concat(F.lit("Order "), n)).otherwise(F.concat(F.lit("gone "), n))
     return M.still_known(table(spark, d, "events").select("event_id", cite.alias("cite")), nodes(spark, d)).select("event_id", "cite")
+
+
+@query("rekeyed_ids", f"""WITH {FILES_SQL}, n AS (SELECT doc_id, path AS source_file FROM files), s AS (SELECT doc_id, {_norm(_STEM)} AS st, string_split({_STEM}, '/') AS p FROM n),
+o AS (SELECT doc_id, st, {_norm("p[-2] || '.' || p[-1]")} AS two, {_norm("p[-1]")} AS one FROM s WHERE doc_id % 7 <> 0)
+SELECT CASE doc_id % 4 WHEN 0 THEN two || '_run' WHEN 1 THEN one ELSE one || '_go' END AS old, st || CASE doc_id % 4 WHEN 0 THEN '_run' WHEN 1 THEN '' ELSE '_go' END AS new FROM o
+WHERE doc_id % 4 < 3 AND CASE doc_id % 4 WHEN 0 THEN two ELSE one END <> st""")
+def rekeyed_ids(spark, d):
+    from weft.functions import text as T
+
+    f = files(spark, d)
+    parts = F.split(I.without_suffix(F.col("path")), "/")
+    one, turn = F.element_at(parts, -1), F.col("doc_id") % 4
+    two = F.concat(F.element_at(parts, -2), F.lit("."), one)
+    node = F.when(turn == 0, F.concat(T.norm_id(two), F.lit("_run"))).when(turn == 1, T.norm_id(one)).when(turn == 2, F.concat(T.norm_id(one), F.lit("_go"))).otherwise(F.concat(T.norm_id(I.without_suffix(F.col("path"))), F.lit("_x")))
+    loose = f.select(node.alias("id"), F.col("path").alias("source_file"), F.when(F.col("doc_id") % 7 == 0, "ast").otherwise("llm").alias("origin"))
+    return I.rekeyed_ids(materialize(loose, "loose"))  # the made-up paths would be spelled out again in every expression
+
+
+_COLLIDED = "n AS (SELECT 'p' || p_partkey % 700 AS id, CASE WHEN p_partkey % 10 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN 'a/b_' || p_size || '.py' ELSE 'a_b/' || p_size || '.py' END AS source_file, CASE WHEN p_partkey % 13 = 0 THEN 'module' END AS type FROM part)"
+
+
+@query("collided_ids", f"""WITH {_COLLIDED}, k AS (SELECT DISTINCT id, source_file FROM n WHERE type IS NULL), m AS (SELECT *, {_norm("source_file || '_' || id")} AS plain FROM k WHERE source_file <> '' AND id IN (SELECT id FROM k GROUP BY 1 HAVING count(*) > 1))
+SELECT id, source_file, plain || CASE WHEN count(*) OVER (PARTITION BY id, plain) > 1 THEN '_' || left(sha1(source_file), 6) ELSE '' END AS new FROM m""")
+def collided_ids(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    path = F.when(k % 10 == 0, "").when(k % 3 == 0, F.concat(F.lit("a/b_"), size, F.lit(".py"))).otherwise(F.concat(F.lit("a_b/"), size, F.lit(".py")))
+    return I.collided_ids(table(spark, d, "part").select(F.concat(F.lit("p"), (k % 700).cast("string")).alias("id"), path.alias("source_file"), F.when(k % 13 == 0, "module").alias("type")))
+
+
+@query("manifest_merge", f"""WITH {FILES_SQL}, old AS (SELECT doc_id, path, 1.0::double AS mtime, md5(text) AS ast_hash, CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE '' END AS semantic_hash FROM files WHERE doc_id % 5 <> 0),
+now AS (SELECT f.path, 2.0::double AS mtime, md5(f.text || CASE WHEN f.doc_id % 4 = 0 THEN 'x' ELSE '' END) AS hash, o.ast_hash, o.semantic_hash FROM files f LEFT JOIN old o USING (path) WHERE f.doc_id % 3 = 0)
+SELECT path, mtime, hash AS ast_hash, CASE WHEN hash = ast_hash THEN semantic_hash ELSE '' END AS semantic_hash FROM now UNION ALL
+SELECT path, mtime, ast_hash, CASE WHEN doc_id % 17 = 0 THEN '' ELSE semantic_hash END FROM old WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
+def manifest_merge(spark, d):
+    from weft.sources.files import merge_manifest
+
+    f = files(spark, d)
+    h = lambda c: F.md5(c.cast("binary"))
+    old = f.where("doc_id % 5 <> 0").select("path", F.lit(1.0).alias("mtime"), h(F.col("text")).alias("ast_hash"), F.when(F.col("doc_id") % 2 == 0, h(F.col("text"))).otherwise("").alias("semantic_hash"))
+    now = f.where("doc_id % 3 = 0").select("path", F.lit(2.0).alias("mtime"), h(F.concat("text", F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""))).alias("hash"))
+    return merge_manifest(old, now, f.where("doc_id % 11 <> 0"), "ast", f.where("doc_id % 13 <> 0"), f.where("doc_id % 17 = 0"))

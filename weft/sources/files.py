@@ -57,6 +57,28 @@ def scan_changes(now: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def merge_manifest(old: DataFrame, now: DataFrame, alive: DataFrame, kind: str = "both", corpus: DataFrame | None = None, cleared: DataFrame | None = None) -> DataFrame:
+    """path, mtime, ast_hash, semantic_hash after a pass of kind ast, semantic or both over the files of now (path, mtime, hash).
+
+    Rows of old for files that are not in now stay while the file is there (alive) and, if corpus is given, in it; those in
+    cleared lose their semantic_hash. A pass over the syntax keeps the semantic_hash of a file only while its content is the
+    same, a semantic pass keeps the ast_hash.
+    """
+    kept = old.join(alive.select("path").distinct(), "path", "left_semi")
+    if corpus is not None:
+        kept = kept.join(corpus.select("path").distinct(), "path", "left_semi")
+    kept = kept.join(now.select("path"), "path", "left_anti").select("path", "mtime", "ast_hash", "semantic_hash")
+    if cleared is not None:
+        gone = cleared.select("path").distinct().withColumn("_gone", F.lit(True))
+        kept = kept.join(gone, "path", "left").select("path", "mtime", "ast_hash", F.when(F.col("_gone").isNull(), F.col("semantic_hash")).otherwise("").alias("semantic_hash"))
+    before = old.select("path", F.coalesce("ast_hash", F.lit("")).alias("_ast"), F.coalesce("semantic_hash", F.lit("")).alias("_semantic"))
+    rows = now.join(before, "path", "left")
+    ast = F.col("hash") if kind in ("ast", "both") else F.coalesce("_ast", F.lit(""))
+    same = F.coalesce(F.col("hash") == F.col("_ast"), F.lit(False))
+    semantic = F.col("hash") if kind in ("semantic", "both") else F.when(same, F.col("_semantic")).otherwise("")
+    return kept.unionByName(rows.select("path", "mtime", ast.alias("ast_hash"), semantic.alias("semantic_hash")))
+
+
 def cache_split(files: DataFrame, cached: DataFrame) -> DataFrame:
     """files with sha and hit: whether cached has the same content at the same path."""
     sha = T.content_hash(F.col("text"), F.col("path"))
