@@ -132,16 +132,12 @@ def rekeyed_ids(nodes: DataFrame) -> DataFrame:
     parts = F.split(path, "/")
     own, parent = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
     loose = nodes.where("coalesce(origin, '') <> 'ast' AND source_file <> '' AND NOT startswith(source_file, '/') AND id <> ''")
-    rows = loose.select("id", "source_file", T.norm_id(path).alias("_stem"), T.norm_id(F.col("id")).alias("_norm"), T.norm_id(F.concat(parent, F.lit("."), own)).alias("_parent"), T.norm_id(own).alias("_own"))
-    rows = rows.where("_stem <> '' AND _norm <> _stem AND NOT startswith(_norm, concat(_stem, '_'))")
-
-    def moved(old: str) -> Column:
-        rest = F.expr(f"substring(_norm, length({old}) + 2)")
-        fits = (F.col(old) != "") & (F.col(old) != F.col("_stem"))
-        return F.when(fits & (F.col("_norm") == F.col(old)), F.col("_stem")).when(fits & F.col("_norm").startswith(F.concat(old, F.lit("_"))), F.concat("_stem", F.lit("_"), rest))
-
-    new = rows.select(F.col("id").alias("old"), "source_file", F.coalesce(moved("_parent"), moved("_own")).alias("new")).where("new IS NOT NULL AND new <> old")
-    return new.groupBy("old").agg(F.max_by("new", "source_file").alias("new"))
+    rows = loose.select("id", "source_file", T.norm_id(path).alias("_stem"), T.norm_id(F.col("id")).alias("_norm"), F.array(T.norm_id(F.concat(parent, F.lit("."), own)), T.norm_id(own)).alias("_olds"))
+    rows = rows.select("id", "source_file", "_stem", "_norm", F.posexplode("_olds").alias("_pos", "_old"))
+    rows = rows.where("_stem <> '' AND _norm <> _stem AND NOT startswith(_norm, concat(_stem, '_')) AND _old <> '' AND _old <> _stem")
+    rest = F.expr("substring(_norm, length(_old) + 1)")
+    new = rows.where("_norm = _old OR startswith(_norm, concat(_old, '_'))").select(F.col("id").alias("old"), "source_file", "_pos", F.concat("_stem", rest).alias("new"))
+    return new.groupBy("old").agg(F.max_by("new", F.struct("source_file", -F.col("_pos"))).alias("new")).where("new <> old")
 
 
 def collided_ids(nodes: DataFrame) -> DataFrame:
