@@ -93,9 +93,9 @@ def sentence_labels(spark, d):
     return nodes(spark, d).select("id", "label").union(docs).union(turns).select("id", T.is_sentence(F.col("label")).alias("sentence"))
 
 
-@query("cost_estimate", """WITH p AS (SELECT * FROM (VALUES ('code', 3.0, 15.0), ('web', 0.25, 1.25), ('news', 1.0, 5.0)) v(source, a, b)) SELECT doc_id, round(coalesce((length(text) * a + len(regexp_extract_all(text, '[^\\s]+')) * b) / 1000000, 0), 9)::double AS cost FROM documents LEFT JOIN p USING (source)""")
+@query("cost_estimate", """WITH p AS (SELECT * FROM (VALUES ('src0', 3.0, 15.0), ('src3', 0.25, 1.25), ('src5', 1.0, 5.0)) v(source, a, b)) SELECT doc_id, round(coalesce((length(text) * a + len(regexp_extract_all(text, '[^\\s]+')) * b) / 1000000, 0), 9)::double AS cost FROM documents LEFT JOIN p USING (source)""")
 def cost_estimate(spark, d):
-    prices = spark.createDataFrame([("code", 3.0, 15.0), ("web", 0.25, 1.25), ("news", 1.0, 5.0)], "source string, price_in double, price_out double")
+    prices = spark.createDataFrame([("src0", 3.0, 15.0), ("src3", 0.25, 1.25), ("src5", 1.0, 5.0)], "source string, price_in double, price_out double")
     docs = table(spark, d, "documents").join(F.broadcast(prices), "source", "left")  # a row a model
     cost = T.cost(F.length("text"), T.word_count(F.col("text")), F.col("price_in"), F.col("price_out"))
     return docs.select("doc_id", F.round(cost, 9).alias("cost"))
