@@ -92,3 +92,10 @@ CONTEXT_ALIASES = {
 
 HEADER_EXTENSIONS = (".h", ".hh", ".hpp", ".hxx")
 IMPLEMENTATION_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".m", ".mm")
+
+# How an import of a script becomes a file, in the order in which the forms are tried.
+SCRIPT_TWINS = ((".js", ".ts"), (".jsx", ".tsx"))
+SCRIPT_EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".svelte", ".js", ".jsx", ".mjs", ".cjs")
+SCRIPT_INDEXES = ("index.ts", "index.tsx", "index.svelte", "index.js", "index.jsx", "index.mjs")
+# Relations that lead to a type.
+TYPE_RELATIONS = ("implements", "inherits", "extends", "imports", "references", "mixes_in")
