@@ -10,8 +10,10 @@ from weft.functions import vocab
 from weft.operators.degree import degrees
 from weft.runtime import materialize, sized_broadcast
 
-#: Nodes of a higher degree than this, or than the 99th percentile's if that is more, aren't walked through.
+#: Nodes of this degree or a higher one, or of the 99th percentile's if that is more, aren't walked through.
 HUB_FLOOR = 50
+#: No walk goes farther than this.
+MAX_DEPTH = 6
 
 
 def hub_cutoff(nodes: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> int:
@@ -36,21 +38,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.union(e.select("v", "u")).where("u <> v").distinct()
 
 
-def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, cutoff: int | None = None) -> DataFrame:
-    """id and hop (0 for seeds) of the nodes within depth hops, whatever the edges' direction.
-
-    Nodes above the hub cutoff are reached but not walked through, unless they are seeds.
-    """
-    known = materialize(degrees(edges), "degrees")
-    cutoff = hub_cutoff(nodes, edges, known) if cutoff is None else cutoff
+def _reach(edges: DataFrame, known: DataFrame, seeds: DataFrame, depth: int, cutoff: int | None) -> DataFrame:
+    """id and hop of the nodes within depth hops; those of cutoff links or more, but for seeds, aren't walked through."""
     ends = materialize(edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u <> v"), "ends")
     links = ends.union(ends.select("v", "u"))  # with repeats: only what a hop finds is made distinct
-    hubs = known.where(F.col("degree") > cutoff).select(F.col("id").alias("u"))
+    hubs = known.where(F.col("degree") >= cutoff).select(F.col("id").alias("u")) if cutoff is not None else None
     frontier = materialize(seeds.select("id").distinct(), "frontier")
     seen = frontier.withColumn("hop", F.lit(0))
-    for hop in range(1, min(depth, 6) + 1):
+    for hop in range(1, depth + 1):
         walkers = frontier.select(F.col("id").alias("u"))
-        if hop > 1:
+        if hop > 1 and hubs is not None:
             walkers = walkers.join(hubs, "u", "left_anti")
         found = links.join(sized_broadcast(materialize(walkers, "walkers")), "u").select(F.col("v").alias("id")).distinct()
         frontier = materialize(found.join(seen.select("id"), "id", "left_anti"), "frontier")
@@ -60,24 +57,52 @@ def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, cu
     return seen
 
 
-def dfs(edges: DataFrame, seed: str, depth: int = 2, limit: int = 100_000) -> list[tuple[str, int]]:
-    """Nodes in depth-first order, with their depth, neighbours in the order of their ids.
+def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2, cutoff: int | None = None) -> DataFrame:
+    """id and hop (0 for seeds) of the nodes within depth hops, MAX_DEPTH at most, whatever the edges' direction.
+
+    Nodes whose degree is the hub cutoff or more are reached but not walked through, unless they are seeds.
+    """
+    known = materialize(degrees(edges), "degrees")
+    cutoff = hub_cutoff(nodes, edges, known) if cutoff is None else cutoff
+    return _reach(edges, known, seeds, min(depth, MAX_DEPTH), cutoff)
 
+
+def walked(nodes: DataFrame, edges: DataFrame, seen: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """The edges over which bfs went to get seen (id, hop), with u, v and hop: from u, over hop - 1 others, to v.
+
+    These are the edges from a node that is walked through to one that is a hop farther; each keeps its own direction.
+    """
+    known = materialize(degrees(edges), "degrees")
+    cutoff = hub_cutoff(nodes, edges, known) if cutoff is None else cutoff
+    at = sized_broadcast(materialize(seen.select("id", "hop"), "seen"))
+    ends = edges.join(at.select(F.col("id").alias("source"), F.col("hop").alias("_s")), "source").join(at.select(F.col("id").alias("target"), F.col("hop").alias("_t")), "target")
+    onward = F.col("_s") < F.col("_t")
+    steps = ends.where("abs(_s - _t) = 1").withColumn("u", F.when(onward, F.col("source")).otherwise(F.col("target"))).withColumn("v", F.when(onward, F.col("target")).otherwise(F.col("source"))).withColumn("hop", F.greatest("_s", "_t"))
+    hubs = known.where(F.col("degree") >= cutoff).join(at.where("hop > 0"), "id", "left_semi").select(F.col("id").alias("u"))
+    return steps.join(hubs, "u", "left_anti").select(*edges.columns, "u", "v", "hop")
+
+
+def dfs(edges: DataFrame, seed: str | list[str], depth: int = 2, limit: int = 100_000, cutoff: int | None = None) -> list[tuple[str, int]]:
+    """Nodes in depth-first order, with their depth, from one seed or several, neighbours in the order of their ids.
+
+    Nodes of cutoff links or more are visited but not walked through, unless they are seeds; without a cutoff, all are.
     The order of visits decides what is reached, so this runs on the driver, over the part of the graph within
-    depth hops of the seed; a part with more than limit links is refused.
+    depth hops of the seeds; a part with more than limit links is refused.
     """
     spark = edges.sparkSession
-    links = both_ways(edges)
-    near = materialize(spark.createDataFrame([(seed,)], "id string"), "near")
-    for _ in range(depth):
-        near = materialize(near.union(links.join(near, F.col("u") == F.col("id"), "left_semi").select("v")).distinct(), "near")
-    inner = links.join(near, F.col("u") == F.col("id"), "left_semi").join(near, F.col("v") == F.col("id"), "left_semi").limit(limit + 1).collect()
+    seeds = [seed] if isinstance(seed, str) else list(seed)
+    start = spark.createDataFrame([(s,) for s in seeds], "id string")
+    known = materialize(degrees(edges), "degrees")
+    near = materialize(_reach(edges, known, start, depth, cutoff), "near").select("id")
+    hubs = known.where(F.col("degree") >= cutoff).select("id").join(start, "id", "left_anti") if cutoff is not None else known.limit(0).select("id")
+    through = materialize(near.join(hubs, "id", "left_anti"), "through")
+    inner = both_ways(edges).join(through, F.col("u") == F.col("id"), "left_semi").join(near, F.col("v") == F.col("id"), "left_semi").limit(limit + 1).collect()
     if len(inner) > limit:
         raise ValueError(f"more than {limit} links within {depth} hops")
     neighbours: dict[str, list[str]] = {}
     for row in inner:
         neighbours.setdefault(row["u"], []).append(row["v"])
-    out, seen, stack = [], set(), [(seed, 0)]
+    out, seen, stack = [], set(), [(s, 0) for s in reversed(seeds)]
     while stack:
         node, at = stack.pop()
         if node in seen:

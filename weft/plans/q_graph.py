@@ -83,12 +83,21 @@ _CUT = "cut AS (SELECT greatest(50, coalesce((SELECT coalesce(degree, 0) FROM no
 
 
 @query("bfs_hub_cut", f"""WITH {NODES_SQL}, {EDGES_SQL}, {_DEG}, {_CUT}, {_BOTH}, h1 AS (SELECT DISTINCT v AS id FROM l WHERE u IN ('supplier:1', 'customer:1') AND v NOT IN ('supplier:1', 'customer:1')),
-h2 AS (SELECT DISTINCT v AS id FROM l JOIN deg ON u = id WHERE u IN (SELECT id FROM h1) AND degree <= (SELECT cut FROM cut) AND v NOT IN (SELECT id FROM h1) AND v NOT IN ('supplier:1', 'customer:1'))
+h2 AS (SELECT DISTINCT v AS id FROM l JOIN deg ON u = id WHERE u IN (SELECT id FROM h1) AND degree < (SELECT cut FROM cut) AND v NOT IN (SELECT id FROM h1) AND v NOT IN ('supplier:1', 'customer:1'))
 SELECT 'supplier:1' AS id, 0 AS hop UNION ALL SELECT 'customer:1', 0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""")
 def bfs_hub_cut(spark, d):
     return W.bfs(nodes(spark, d), edges(spark, d), spark.createDataFrame([("supplier:1",), ("customer:1",)], "id string"), 2)
 
 
+@query("walked_edges", f"""WITH {NODES_SQL}, {EDGES_SQL}, {_DEG}, {_CUT}, {_BOTH}, h1 AS (SELECT DISTINCT v AS id FROM l WHERE u IN ('supplier:1', 'customer:1') AND v NOT IN ('supplier:1', 'customer:1')),
+w1 AS (SELECT id FROM h1 JOIN deg USING (id) WHERE degree < (SELECT cut FROM cut)), n AS (SELECT u, v, 1 AS hop FROM l WHERE u IN ('supplier:1', 'customer:1') AND v IN (FROM h1) UNION SELECT u, v, 2 FROM l WHERE u IN (FROM w1) AND v NOT IN (FROM h1) AND v NOT IN ('supplier:1', 'customer:1'))
+SELECT source, target, relation, weight, u, v, hop FROM edges JOIN n ON (source = u AND target = v) OR (source = v AND target = u)""")
+def walked_edges(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    seen = W.bfs(n, e, spark.createDataFrame([("supplier:1",), ("customer:1",)], "id string"), 2)
+    return W.walked(n, e, seen).select("source", "target", "relation", "weight", "u", "v", "hop")
+
+
 @query("affected", f"""WITH {EDGES_SQL}, b AS (SELECT target AS t, source AS id, relation FROM edges WHERE relation IN ({_list(vocab.IMPACT_RELATIONS)})), s AS (SELECT 'nation:3' AS id UNION SELECT target FROM edges WHERE source = 'nation:3' AND relation IN ('method', 'contains')),
 a1 AS (SELECT id, min(relation) AS relation FROM b WHERE t IN (SELECT id FROM s) AND id NOT IN (SELECT id FROM s) GROUP BY id),
 a2 AS (SELECT id, min(relation) AS relation FROM b WHERE t IN (SELECT id FROM a1) AND id NOT IN (SELECT id FROM s) AND id NOT IN (SELECT id FROM a1) GROUP BY id) SELECT id, relation, 1 AS hop FROM a1 UNION ALL SELECT id, relation, 2 FROM a2""")
@@ -109,8 +118,8 @@ def shortest_path(spark, d):
 
 @query("dfs")
 def dfs(spark, d):
-    small = edges(spark, d).where("relation IN ('contains', 'references')")
-    return spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(W.dfs(small, "region:0", 3))], "place int, id string, depth int")
+    n, e = nodes(spark, d), edges(spark, d)
+    return spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(W.dfs(e, ["region:0", "customer:1"], 3, cutoff=W.hub_cutoff(n, e)))], "place int, id string, depth int")
 
 
 @query("neighbors", f"WITH {NODES_SQL}, {EDGES_SQL}, n AS (SELECT 'out' AS direction, relation, target AS id FROM edges WHERE source = 'part:7' UNION SELECT 'in', relation, source FROM edges WHERE target = 'part:7') SELECT direction, relation, id, label FROM n JOIN nodes USING (id) WHERE contains(relation, 's')")
