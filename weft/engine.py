@@ -56,9 +56,9 @@ class Engine:
     def diagnose(self) -> DataFrame:
         return validate.diagnostics(self.edges, self.nodes)
 
-    def query(self, question: str, depth: int = 2, tokens: int = search.BUDGET) -> DataFrame:
-        """The lines of an answer: what the question is about and what is near it, within a budget of tokens."""
-        return search.within_budget(search.query_subgraph(self.nodes, self.edges, question, depth), self.edges, tokens)
+    def query(self, question: str, depth: int = 2, tokens: int = search.BUDGET, deep: bool = False) -> DataFrame:
+        """The lines of an answer: what the question is about, what is near it and how they are linked, within a budget of tokens."""
+        return search.answer(self.nodes, self.edges, question, depth, tokens, deep)
 
     def search(self, text: str, n: int = 20) -> DataFrame:
         return search.ranked(self.nodes, search.terms_of(text), n)

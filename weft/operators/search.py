@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weft.functions import text as T
 from weft.functions import vocab
 from weft.operators import degree as D
-from weft.operators.traverse import bfs
+from weft.operators.traverse import MAX_DEPTH, bfs, dfs, hub_cutoff, walked
+from weft.runtime import materialize
 
 #: What a match is worth, whole-query matches ten times as much.
 EXACT, PREFIX, PART, SOURCE = 1000.0, 100.0, 1.0, 0.5
@@ -109,14 +110,63 @@ def pick_endpoint(nodes: DataFrame, text: str) -> DataFrame:
     return rows.orderBy(F.desc(all_words), F.desc("score"), F.length("label"), "id").limit(1).select("id", "label")
 
 
-def query_subgraph(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2) -> DataFrame:
-    """id, label, hop of what a question is about: seeds, and what is near them over edges of the contexts that it names."""
+def _asked(nodes: DataFrame, edges: DataFrame, question: str, depth: int, deep: bool) -> tuple[DataFrame, DataFrame, int]:
+    """id and hop of what a question is about, the edges of the contexts that it names, and the hub cutoff there."""
     spark = nodes.sparkSession
     seeds = pick_seeds(nodes, edges, terms_of(question))
     contexts = spark.range(1).select(T.context_filters(F.lit(question)).alias("c")).first()["c"]
     links = edges.where(F.col("context").isin(*contexts)) if contexts else edges
-    start = spark.createDataFrame([(s,) for s in seeds], "id string")
-    return bfs(nodes, links, start, depth).join(nodes.select("id", "label"), "id").select("id", "label", "hop")
+    cutoff = hub_cutoff(nodes, links)
+    if deep:
+        return spark.createDataFrame([(i, n) for i, n in dfs(links, seeds, min(depth, MAX_DEPTH), cutoff=cutoff)] if seeds else [], "id string, hop int"), links, cutoff
+    return bfs(nodes, links, spark.createDataFrame([(s,) for s in seeds], "id string"), depth, cutoff), links, cutoff
+
+
+def query_subgraph(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, deep: bool = False) -> DataFrame:
+    """id, label, hop of what a question is about: seeds, and what is near them over edges of the contexts that it names.
+
+    deep: depth first instead of level by level; then hop is the depth at which a node was visited.
+    """
+    seen, _, _ = _asked(nodes, edges, question, depth, deep)
+    return seen.join(nodes.select("id", "label"), "id").select("id", "label", "hop")
+
+
+def answer(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, tokens: int = BUDGET, deep: bool = False) -> DataFrame:
+    """place, id, line: the nodes of an answer, then the edges walked, then, if not all fit, a line that says so.
+
+    Edges follow in the order of their hops only where all nodes fit, as far as the rest of the budget goes.
+    """
+    seen, links, cutoff = _asked(nodes, edges, question, depth, deep)
+    seen = materialize(seen.join(nodes.select("id", "label"), "id").select("id", "label", "hop"), "answer")
+    return with_links(nodes, links, seen, within_budget(seen, edges, tokens), cutoff, tokens)
+
+
+def with_links(nodes: DataFrame, edges: DataFrame, seen: DataFrame, shown: DataFrame, cutoff: int, tokens: int = BUDGET) -> DataFrame:
+    """shown (place, id, line) and after it the lines of the edges walked to get seen (id, label, hop), and of what is cut.
+
+    An edge's id is null. Two counts and at most as many lines as the budget holds are read on the driver.
+    """
+    spark = seen.sparkSession
+    shown = materialize(shown, "shown")
+    total, told = seen.count(), shown.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("line") + 1), F.lit(0)).alias("chars")).first()
+    label = lambda end, name: seen.select(F.col("id").alias(end), F.col("label").alias(name))
+    steps = walked(nodes, edges, seen, cutoff).join(label("source", "_s"), "source").join(label("target", "_t"), "target")
+    context = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit(" context="), "context")).otherwise("")
+    line = F.concat(F.lit("EDGE "), "_s", F.lit(" --"), "relation", F.lit(" ["), F.coalesce("confidence", F.lit("")), context, F.lit("]--> "), "_t")
+    steps = materialize(steps.select("hop", "source", "target", "relation", line.alias("line")).where("line IS NOT NULL").distinct(), "steps")
+    n_steps, room = steps.count(), tokens * CHARS - told["chars"]
+    more: list[str] = []
+    if told["n"] == total:
+        # no line is shorter than its frame, so this many rows are more than fit
+        for row in steps.orderBy("hop", "source", "target", "relation", "line").limit(max(0, room // 12) + 1).toLocalIterator():
+            if len(row["line"]) + 1 > room:
+                break
+            room -= len(row["line"]) + 1
+            more.append(row["line"])
+    if told["n"] < total or len(more) < n_steps:
+        more.append(f"... {told['n']} of {total} nodes and {len(more)} of {n_steps} edges fit into {tokens} tokens; ask a narrower question or raise the budget")
+    rest = spark.createDataFrame([(told["n"] + i + 1, None, text) for i, text in enumerate(more)], "place int, id string, line string")
+    return shown.select("place", "id", "line").union(rest)
 
 
 def within_budget(rows: DataFrame, edges: DataFrame, tokens: int = BUDGET) -> DataFrame:

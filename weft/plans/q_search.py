@@ -10,6 +10,7 @@ from weft.operators import traverse as W
 from weft.plans.q_graph import _DEG
 from weft.plans.registry import query
 from weft.plans.tables import EDGES_SQL, FILES_SQL, NODES_SQL, edges, files, nodes, table
+from weft.runtime import materialize
 
 QUESTION = "how does the blue widget depend on Brand gear?"
 TERMS = ["blue", "widget", "depend", "brand", "gear"]
@@ -73,6 +74,25 @@ def query_subgraph(spark, d):
     return S.query_subgraph(nodes(spark, d), edges(spark, d), QUESTION, 1)
 
 
+@query("query_depth_first")
+def query_depth_first(spark, d):
+    return S.query_subgraph(nodes(spark, d), edges(spark, d), QUESTION, 2, deep=True)
+
+
+@query("query_answer")
+def query_answer(spark, d):
+    return S.answer(nodes(spark, d), edges(spark, d), QUESTION, 1)
+
+
+@query("answer_edges", f"""WITH {NODES_SQL}, {EDGES_SQL}, h AS (SELECT 'region:2' AS id, 0 AS hop UNION SELECT source, 1 FROM edges WHERE target = 'region:2'), n AS (SELECT h.*, label FROM h JOIN nodes USING (id)),
+l AS (SELECT DISTINCT 'EDGE ' || s.label || ' --' || relation || ' [' || confidence || ' context=' || context || ']--> ' || t.label AS line FROM edges JOIN n s ON s.id = source JOIN n t ON t.id = target WHERE abs(s.hop - t.hop) = 1)
+SELECT line FROM l UNION ALL SELECT 'NODE ' || label || ' [' || id || ']' FROM n""")
+def answer_edges(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    near = materialize(W.bfs(n, e, spark.createDataFrame([("region:2",)], "id string"), 1).join(n.select("id", "label"), "id"), "near")
+    return S.with_links(n, e, near, S.within_budget(near, e), W.hub_cutoff(n, e)).select("line")
+
+
 @query("render_budget", f"""WITH {NODES_SQL}, {EDGES_SQL}, {_DEG}, h AS (SELECT 'nation:5' AS id, 0 AS hop UNION SELECT source, 1 FROM edges WHERE target = 'nation:5' UNION SELECT target, 1 FROM edges WHERE source = 'nation:5'),
 l AS (SELECT id, hop, coalesce(degree, 0) AS degree, 'NODE ' || label || ' [' || id || ']' AS line FROM h JOIN nodes USING (id) LEFT JOIN deg USING (id)), r AS (SELECT *, row_number() OVER o AS place, sum(length(line) + 1) OVER o AS upto FROM l WINDOW o AS (ORDER BY hop, degree DESC, id))
 SELECT place::int AS place, id, line FROM r WHERE hop = 0 OR upto <= 600""")
