@@ -31,7 +31,7 @@ class Engine:
         calls = calls.withColumn("call_id", F.xxhash64("caller", "callee", "caller_file", "source_location"))
         solved = resolve.resolve_calls(calls, functions, imports)
         more = solved.select(F.col("caller").alias("source"), F.col("id").alias("target"), F.lit("calls").alias("relation"), "confidence", F.lit("call").alias("context")).distinct()
-        nodes, edges = build.build_graph(nodes, edges.drop("source_location", "symbol").unionByName(more, allowMissingColumns=True))
+        nodes, edges = build.build_graph(nodes.withColumn("origin", F.lit("ast")), edges.drop("source_location", "symbol").unionByName(more, allowMissingColumns=True))
         return cls(nodes, edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", "confidence", "weight", "source_file").withColumn("context", F.lit(None).cast("string")))
 
     @classmethod

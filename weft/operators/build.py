@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as T
 from weft.functions import vocab
 from weft.operators.validate import last_by, without_dangling
+from weft.runtime import materialize
 
 
 def first_of(*names: str, df: DataFrame) -> Column:
@@ -16,13 +17,17 @@ def first_of(*names: str, df: DataFrame) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
-def fold_nodes(raw: DataFrame) -> DataFrame:
-    """Nodes in the canonical columns, from rows that may use the names `name` and `path`; file types are folded."""
+def fold_nodes(raw: DataFrame, origin: bool = False) -> DataFrame:
+    """Nodes in the canonical columns, from rows that may use the names `name` and `path`; file types are folded.
+
+    origin: with that column too, empty where it is null.
+    """
     return raw.select(
         first_of("id", df=raw).alias("id"),
         first_of("label", "name", df=raw).alias("label"),
         T.file_type(first_of("file_type", df=raw)).alias("file_type"),
         F.coalesce(F.replace(first_of("source_file", "path", df=raw), F.lit("\\"), F.lit("/")), F.lit("")).alias("source_file"),
+        *([F.coalesce("origin", F.lit("")).alias("origin")] if origin else []),
     )
 
 
@@ -160,8 +165,51 @@ def unique_file_labels(files: DataFrame) -> DataFrame:
     return files.select("path").distinct().join(best, "path", "left").select("path", F.coalesce("label", "path").alias("label"))
 
 
+def renamed(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges under the new ids of mapping (old, new); with merge, nodes of old ids go, as those of new ones are there."""
+    side = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    if merge:
+        out = nodes.join(side, F.col("id") == F.col("_old"), "left_anti")
+    else:
+        out = nodes.join(side, F.col("id") == F.col("_old"), "left").withColumn("id", F.coalesce("_new", "id"))
+    return out.select(*nodes.columns), remap(edges, mapping)
+
+
+def told_apart(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges under the new ids of mapping (id, source_file, new): an edge's ends are those of its own file."""
+    out, links = nodes, edges
+    side = mapping.select(F.col("id").alias("_id"), F.col("source_file").alias("_file"), F.col("new").alias("_new"))
+    same = lambda end: (F.col(end) == F.col("_id")) & (F.col("source_file") == F.col("_file"))
+    out = out.join(side, same("id"), "left").withColumn("id", F.coalesce("_new", "id")).select(*nodes.columns)
+    for end in ("source", "target"):
+        links = links.join(side, same(end), "left").withColumn(end, F.coalesce("_new", end)).select(*edges.columns)
+    return out, links
+
+
 def build_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw nodes and edges as a clean graph: folded, ids unique, ends resolved, nothing dangling, parallel edges collapsed."""
-    clean = id_survivors(fold_nodes(nodes))
-    ends = resolve_endpoints(fold_edges(edges), clean)
-    return clean, simple_graph(without_dangling(ends, clean))
+    """Raw nodes and edges as a clean graph.
+
+    In this order: columns folded; ids with a former stem of their file renewed; ids of several files told apart; twins of
+    documents and nodes that a parsed one (origin 'ast') stands for merged; one node an id; ends resolved, by former ids
+    too; edges that cross languages by mistake and dangling ones dropped; parallel edges collapsed.
+    """
+    from weft.operators import identity as I  # which builds on this module
+    from weft.operators.validate import language_guard
+
+    raw = nodes if "origin" in nodes.columns else nodes.withColumn("origin", F.lit(""))
+    clean = materialize(fold_nodes(raw, origin=True), "folded")
+    links = fold_edges(edges)
+    clean, links = renamed(clean, links, materialize(I.rekeyed_ids(clean), "rekeyed"))
+    clean = materialize(clean, "rekeyed-nodes")
+    clean, links = told_apart(clean, links, materialize(I.collided_ids(clean), "collided"))
+    clean = materialize(clean, "apart")
+    clean, links = renamed(clean, links, materialize(I.doc_twins(clean), "twins"), merge=True)
+    clean = materialize(clean, "no-twins")
+    ghosts = materialize(ghost_merge(clean).select(F.col("ghost").alias("old"), F.col("id").alias("new")), "ghosts")
+    clean, links = renamed(clean, materialize(links, "links"), ghosts, merge=True)
+    clean = materialize(id_survivors(clean).drop("origin"), "nodes")
+    former = materialize(I.former_ids(clean), "former")
+    for end in ("source", "target"):
+        links = links.join(former.select(F.col("alias").alias("_alias"), F.col("id").alias("_id")), T.norm_id(F.col(end)) == F.col("_alias"), "left").withColumn(end, F.coalesce("_id", end)).drop("_alias", "_id")
+    ends = resolve_endpoints(links, clean)
+    return clean, simple_graph(without_dangling(language_guard(ends, clean), clean))
