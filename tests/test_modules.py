@@ -81,3 +81,33 @@ def test_extensions_become_the_one_type_of_their_name(spark):
     nodes, edges = M.merge_extensions(n, e, spark.createDataFrame([("x1", "Foo"), ("x2", "Bar"), ("x3", "Baz")], "id string, label string"))
     assert [r[0] for r in rows(nodes, "id")] == ["b1", "b2", "f", "x2", "x3"]
     assert rows(edges, "source", "target") == [("b", "f"), ("q", "f"), ("q", "x3")]
+
+
+def test_configs_and_packages_are_read_from_their_files(spark):
+    from weft.sources import documents
+
+    texts = [
+        ("tsconfig.json", '{ // top\n "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["*"], "url": ["http://x/*y*/z"],}, }, /* end */ }'),
+        ("app/tsconfig.json", '{"extends": ["./gone.json", "../cfg/tsconfig.base"]}'), ("cfg/tsconfig.base.json", '{"compilerOptions": {"paths": {"~/*": ["./lib/*"]}}}'),
+        ("bad/tsconfig.json", "{"), ("list/tsconfig.json", "[1]"), ("none/tsconfig.json", None), ("x/package.json", '{"name": "x", "main": "m.js", "types": 3, "exports": {".": {"node": "n.js"}, "./a": {"default": {"import": "./a.mjs"}}, "./b": null}}'),
+        ("package.json", '{"name": "top", "exports": "./t.js"}'), ("y/package.json", '{"main": "m.js"}'), ("z/package.json", "broken"), ("w/package.json", None),
+    ]
+    files = spark.createDataFrame(texts, "path string, text string")
+    aliases = {(r["root"], r["pattern"]): r["targets"] for r in documents.script_aliases(files).collect()}
+    assert aliases == {("", "@/*"): ["src/*"], ("", "url"): ["src/http://x/*y*/z"], ("", None): ["src"], ("app", "~/*"): ["../cfg/././lib/*"]}
+    packages = {r["name"]: (r["directory"], r["entries"], [tuple(e) for e in r["exports"]]) for r in documents.workspace_packages(files).collect()}
+    assert packages == {"x": ("x", ["m.js"], [("./a", "./a.mjs")]), "top": ("", ["./t.js"], [])}
+
+
+def test_a_folder_of_scripts_is_linked_by_its_imports(spark, tmp_path):
+    from weft.engine import Engine
+
+    for path, text in {
+        "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}', "src/a.ts": 'import { b } from "./b.js";\nimport c from "@/c";\nimport k from "kit";\nimport React from "react";\n',
+        "src/b.ts": "export function b() {}\n", "src/c/index.ts": "export default 1;\n", "kit/package.json": '{"name": "kit", "main": "lib/k.js"}', "kit/lib/k.js": "module.exports = 1;\n",
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    graph = Engine.from_folder(spark, str(tmp_path))
+    found = {frozenset((r["source"], r["target"])) for r in graph.edges.where("relation = 'imports_from'").collect()}
+    assert found == {frozenset(("src_a", t)) for t in ("src_b", "src_c_index", "kit_lib_k")}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import analyze, build, community, degree, entities, resolve, search, traverse, validate
+from weft.functions import text as T
+from weft.operators import analyze, build, community, degree, entities, identity, modules, resolve, search, traverse, validate
 from weft.plans import tables
 from weft.sources import documents, files, languages, sinks
 
@@ -27,6 +28,7 @@ class Engine:
         found = files.scan(spark, root).where("status = 'ok'").select("path", "text")
         nodes, edges, calls = languages.graph_of(found)
         functions = nodes.where("label LIKE '%()'").select("id", "label", F.col("source_file").alias("file"))
+        edges = cls._script_imports(edges, found)
         imports = edges.where("symbol IS NOT NULL").select(F.col("source_file").alias("file"), "symbol")
         calls = calls.withColumn("call_id", F.xxhash64("caller", "callee", "caller_file", "source_location"))
         solved = resolve.resolve_calls(calls, functions, imports)
@@ -34,6 +36,18 @@ class Engine:
         nodes, edges = build.build_graph(nodes.withColumn("origin", F.lit("ast")), edges.drop("source_location", "symbol").unionByName(more, allowMissingColumns=True))
         return cls(nodes, edges.select(F.col("a").alias("source"), F.col("b").alias("target"), "relation", "confidence", "weight", "source_file").withColumn("context", F.lit(None).cast("string")))
 
+    @staticmethod
+    def _script_imports(edges: DataFrame, found: DataFrame) -> DataFrame:
+        """edges in which the import of a script leads to the file that it means; that of a package outside stays."""
+        spec = F.when(F.col("context") == "script", F.col("symbol"))
+        asked = edges.where(spec.isNotNull()).select(F.col("source_file").alias("file"), F.col("symbol").alias("spec"))
+        meant = modules.resolve_imports(asked, found.select("path"), documents.script_aliases(found), documents.workspace_packages(found))
+        meant = meant.where("path IS NOT NULL").select(F.col("file").alias("source_file"), F.col("spec").alias("_spec"), T.norm_id(identity.without_suffix(F.col("path"))).alias("_to"))
+        out = edges.withColumn("_spec", spec).join(meant, ["source_file", "_spec"], "left")
+        plain = F.when(F.col("_spec").isNull(), F.col("symbol")).alias("symbol")
+        kept = [c for c in edges.columns if c not in ("target", "context", "symbol")]
+        return out.select(*kept, F.coalesce("_to", "target").alias("target"), F.when(F.col("_spec").isNotNull(), "import").otherwise(F.col("context")).alias("context"), plain)
+
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> Engine:
         nodes, edges, _ = documents.load_graph(spark, path)

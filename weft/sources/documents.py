@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators.build import fold_edges, fold_nodes
+from weft.runtime import materialize
+
+# The conditions of a package's export and the fields that name its entry, in the order in which they count.
+EXPORT_CONDITIONS = ("source", "import", "module", "svelte", "types", "require", "default")
+ENTRY_FIELDS = ("svelte", "module", "main", "types")
 
 _NODE = "struct<id:string,label:string,name:string,file_type:string,source_file:string,path:string,community:int>"
 _EDGE = "struct<source:string,target:string,from:string,to:string,relation:string,type:string,confidence:string,confidence_score:double,weight:string,source_file:string,context:string>"
@@ -93,3 +101,96 @@ def jdbc_schema(spark: SparkSession, url: str, properties: dict[str, str] | None
     """table_schema, table_name, column_name, data_type of a database, from its information schema."""
     table = "(SELECT table_schema, table_name, column_name, data_type FROM information_schema.columns WHERE table_schema NOT IN ('pg_catalog', 'information_schema')) AS c"
     return spark.read.jdbc(url, table, properties=properties or {})
+
+
+def script_aliases(files: DataFrame) -> DataFrame:
+    """root, pattern, targets of the path aliases in the tsconfig.json and jsconfig.json of files (path, text).
+
+    Comments and trailing commas are allowed. A baseUrl is where targets start, and gives a row without a pattern. A config
+    that extends another takes that one's aliases, by a relative path, where it has none of its own. Broken ones give nothing.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def parse(text: str) -> dict:
+        tokens = re.sub(r'("(?:\\.|[^"\\])*")|/\*.*?\*/|//[^\n]*', lambda m: m[1] or "", text, flags=re.S)
+        tokens = re.sub(r'("(?:\\.|[^"\\])*")|,(?=\s*[}\]])', lambda m: m[1] or "", tokens)
+        try:
+            data = json.loads(tokens)
+        except (ValueError, RecursionError):
+            return {}
+        return data if isinstance(data, dict) else {}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                root = path.rpartition("/")[0]
+                data = parse(text or "")
+                options = data.get("compilerOptions") if isinstance(data.get("compilerOptions"), dict) else {}
+                base, paths = options.get("baseUrl"), options.get("paths")
+                base = base if isinstance(base, str) and base else None
+                parents = data.get("extends")
+                parents = [x for x in (parents if isinstance(parents, list) else [parents]) if isinstance(x, str) and x.startswith(".")]
+                rows = [(k, [f"{base or '.'}/{t}" for t in v if isinstance(t, str)]) for k, v in paths.items() if isinstance(v, list)] if isinstance(paths, dict) else []
+                rows += [(None, [base])] if base else []
+                rows = rows or [(None, [])]
+                out += [(path, root, k, v, parents) for k, v in rows]
+            c = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(c, kinds, strict=True)], ["path", "root", "pattern", "targets", "parents"])
+
+    from weft.operators.modules import normal_path
+
+    chosen = files.where(F.regexp_extract("path", "[^/]*$", 0).rlike(r"^(ts|js)config(\.[\w.-]+)?\.json$")).select("path", "text")
+    found = materialize(chosen.mapInArrow(read, "path string, root string, pattern string, targets array<string>, parents array<string>"), "configs")
+    own = found.where("size(targets) > 0").select("path", "root", "pattern", "targets")
+    bare = found.join(own.select("path").distinct(), "path", "left_anti").select("path", "root", F.explode("parents").alias("_up")).distinct()
+    at = normal_path(F.concat("root", F.lit("/"), "_up"))
+    wanted = bare.select("root", F.col("path").alias("_child"), F.when(at.endswith(".json"), at).otherwise(F.concat(at, F.lit(".json"))).alias("path"))
+    # targets of a parent start at the parent's own folder
+    up = own.select("path", F.col("root").alias("_base"), "pattern", "targets").join(wanted, "path")
+    depth = F.size(F.filter(F.split("root", "/"), lambda p: p != ""))
+    given = up.select(F.col("_child").alias("path"), "root", "pattern", F.transform("targets", lambda t: F.concat(F.repeat(F.lit("../"), depth), "_base", F.lit("/"), t)).alias("targets"))
+    main = F.regexp_extract("path", "[^/]*$", 0).isin("tsconfig.json", "jsconfig.json")
+    return own.union(given).where(main).select("root", "pattern", "targets")
+
+
+def workspace_packages(files: DataFrame) -> DataFrame:
+    """name, directory, entries, exports (key, target) of the package.json of files (path, text); broken ones give nothing.
+
+    Of an entry's conditions the first that is there counts: source, import, module, svelte, types, require, default.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def target(value: object) -> str | None:
+        if isinstance(value, str):
+            return value
+        if isinstance(value, dict):
+            return next((t for c in EXPORT_CONDITIONS if (t := target(value.get(c)))), None)
+        return None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                try:
+                    data = json.loads(text or "")
+                except (ValueError, RecursionError):
+                    continue
+                if not isinstance(data, dict) or not isinstance(data.get("name"), str) or not data["name"]:
+                    continue
+                exports = data.get("exports")
+                exports = {".": exports} if isinstance(exports, str) else exports if isinstance(exports, dict) else {}
+                whole = target(exports.get("."))
+                entries = [whole] if whole else [data[k] for k in ENTRY_FIELDS if isinstance(data.get(k), str)]
+                told = [{"key": k, "target": t} for k, v in exports.items() if k.startswith("./") and (t := target(v))]
+                out.append({"name": data["name"], "directory": path.rpartition("/")[0], "entries": entries, "exports": told})
+            fields = pa.schema([("name", pa.string()), ("directory", pa.string()), ("entries", pa.list_(pa.string())), ("exports", pa.list_(pa.struct([("key", pa.string()), ("target", pa.string())])))])
+            yield pa.RecordBatch.from_pylist(out, fields)
+
+    chosen = files.where(F.regexp_extract("path", "[^/]*$", 0) == "package.json").select("path", "text")
+    return chosen.mapInArrow(read, "name string, directory string, entries array<string>, exports array<struct<key:string,target:string>>")

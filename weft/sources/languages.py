@@ -156,6 +156,7 @@ LANGUAGES: dict[str, Language] = {
     **dict.fromkeys((".csproj", ".fsproj", ".vbproj", ".sln", ".slnx"), Language("", "", r'(?:Include|Path)="([^"]+)"|=\s*"[^"]*",\s*"([^"]+proj)"', "", r"<!--.*?-->", False)),
 }
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+_BLOCK = re.compile("[{};]")
 #: Words before a bracket that are no calls: fixed values.
 _KEYWORDS = frozenset("if for while switch catch return function fn func def class sizeof typeof new await super this elif else try with unless until match when using lock foreach and or not in do".split())
 
@@ -180,12 +181,12 @@ def read_code(path: str, text: str) -> list[dict]:
     def end_of(at: int) -> int:
         """Where the block that opens after `at` closes; the end of the text where none opens."""
         depth = 0
-        for m in re.finditer("[{};]", code[at:]):
+        for m in _BLOCK.finditer(code, at):
             if m[0] == ";" and not depth:
-                return at + m.end()
+                return m.end()
             depth += {"{": 1, "}": -1, ";": 0}[m[0]]
             if not depth:
-                return at + m.end()
+                return m.end()
         return len(code)
 
     owners: list[tuple[int, str]] = [(0, f.root)]
@@ -211,7 +212,8 @@ def read_code(path: str, text: str) -> list[dict]:
     for m in re.finditer(language.imports, code, re.M) if language.imports else ():
         for name in re.split(r"[,\s]+", _name(m)):
             if name:
-                f.edge(f.root, slug(name), "imports_from", line(m.start()), "import")
+                # what a script imports is a path, which is resolved when all files are known
+                f.edge(f.root, slug(name), "imports_from", line(m.start()), "script" if language is _JS else "import", name if language is _JS else None)
     if language.calls:
         places, names = zip(*sorted(owners), strict=True)
         for m in _CALL.finditer(code):
