@@ -111,9 +111,15 @@ def shortest_path_len(spark, d):
     return W.shortest_lengths(edges(spark, d), "region:1", 3)
 
 
-@query("shortest_path")
+#: The nodes that are so many hops from region:1, each with its first shortest path.
+_PATHS = "p0 AS (SELECT 'region:1' AS id, ['region:1'] AS path)" + "".join(
+    f", p{k} AS (SELECT v AS id, min(list_append(path, v)) AS path FROM l JOIN p{k - 1} ON u = p{k - 1}.id WHERE " + " AND ".join(f"v NOT IN (SELECT id FROM p{j})" for j in range(k)) + " GROUP BY v)" for k in range(1, 6)
+)
+
+
+@query("shortest_path", f"WITH {EDGES_SQL}, {_BOTH}, {_PATHS} SELECT array_to_string(path, ' -> ') AS path FROM (" + " UNION ALL ".join(f"FROM p{k}" for k in range(6)) + ") WHERE id = 'supplier:5'")
 def shortest_path(spark, d):
-    return W.shortest_path(edges(spark, d), "region:1", "supplier:5")
+    return W.shortest_path(edges(spark, d), "region:1", "supplier:5").select(F.array_join("path", " -> ").alias("path"))
 
 
 @query("dfs")

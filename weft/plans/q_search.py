@@ -57,9 +57,12 @@ def best_seed_per_term(spark, d):
     return S.best_per_term(nodes(spark, d), edges(spark, d), S.terms_of(QUESTION))
 
 
-@query("pick_seeds", f"""WITH {_SCORES}, {EDGES_SQL}, {_DEG}, {_BEST}, u AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, length(label), id) AS k FROM sc WHERE score > 0),
+_SEEDS = f"""{_SCORES}, {EDGES_SQL}, {_DEG}, {_BEST}, u AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, length(label), id) AS k FROM sc WHERE score > 0),
 f AS (SELECT id, norm, score, row_number() OVER (ORDER BY score DESC, length(label), id) AS place FROM u WHERE k = 1 ORDER BY place LIMIT 3), g AS (SELECT * FROM f WHERE score >= 0.2 * (SELECT max(score) FROM f)),
-e AS (SELECT term, b.id, norm, row_number() OVER (PARTITION BY norm ORDER BY term) AS k FROM b JOIN n USING (id) WHERE norm NOT IN (SELECT norm FROM g)) SELECT id FROM g UNION ALL SELECT id FROM e WHERE k = 1""")
+e AS (SELECT term, b.id, norm, row_number() OVER (PARTITION BY norm ORDER BY term) AS k FROM b JOIN n USING (id) WHERE norm NOT IN (SELECT norm FROM g)), seeds AS (SELECT id FROM g UNION ALL SELECT id FROM e WHERE k = 1)"""
+
+
+@query("pick_seeds", f"WITH {_SEEDS} SELECT id FROM seeds")
 def pick_seeds(spark, d):
     return spark.createDataFrame([(s,) for s in S.pick_seeds(nodes(spark, d), edges(spark, d), S.terms_of(QUESTION))], "id string")
 
@@ -69,7 +72,8 @@ def endpoint_pick(spark, d):
     return S.pick_endpoint(nodes(spark, d), "widget blue")
 
 
-@query("query_subgraph")
+@query("query_subgraph", f"""WITH {_SEEDS}, near AS (SELECT target AS id FROM edges WHERE source IN (FROM seeds) UNION SELECT source FROM edges WHERE target IN (FROM seeds)), h AS (SELECT id, 0 AS hop FROM seeds UNION ALL SELECT id, 1 FROM near WHERE id NOT IN (FROM seeds))
+SELECT id, label, hop FROM h JOIN nodes USING (id)""")
 def query_subgraph(spark, d):
     return S.query_subgraph(nodes(spark, d), edges(spark, d), QUESTION, 1)
 
@@ -135,6 +139,8 @@ def file_slices(spark, d):
     return S.slices(table(spark, d, "documents"), 2000)
 
 
-@query("chunk_pack")
+@query("chunk_pack", f"""WITH RECURSIVE {FILES_SQL}, t AS (SELECT path, greatest(1, length(text) // 4) AS tokens, regexp_replace(path, '/?[^/]*$', '') AS directory FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY path) AS k FROM t),
+r AS (SELECT path, tokens, directory, k, tokens AS used, 0::bigint AS chunk FROM n WHERE k = 1 UNION ALL SELECT n.path, n.tokens, n.directory, n.k, CASE WHEN r.used + n.tokens > 20000 THEN n.tokens ELSE r.used + n.tokens END, r.chunk + (r.used + n.tokens > 20000)::bigint FROM r JOIN n ON n.directory = r.directory AND n.k = r.k + 1)
+SELECT path, tokens, directory, chunk FROM r""")
 def chunk_pack(spark, d):
     return S.pack(files(spark, d).select("path", T.token_estimate(F.col("text")).alias("tokens")), 20_000)
