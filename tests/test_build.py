@@ -36,3 +36,15 @@ def test_every_repair_of_ids_reaches_the_edges(spark):
 def test_an_empty_graph_stays_empty(spark):
     nodes, edges = build.build_graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE))
     assert nodes.isEmpty() and edges.isEmpty()
+
+
+def test_sources_are_gone_only_when_they_are_not_on_disk(spark):
+    table = lambda data: spark.createDataFrame(data, "id string, source_file string")
+    paths = lambda *x: spark.createDataFrame([(v,) for v in x], "source_file string")
+    old = table([("1", "a/kept"), ("2", "a/excluded"), ("3", "a/gone"), ("4", "a/again"), ("5", "a/emptied"), ("6", "b/gone"), ("stub", ""), ("stub2", ""), ("none", None), ("7", "ab/gone")])
+    new = table([("4b", "a/again"), ("stub", "")])
+    given = (paths("a/again", "a/emptied", ""), paths("a/kept", "a/again", "a/emptied"), paths("a/kept", "a/again", "a/emptied", "a/excluded"))
+    got = [r[0] for r in rows(build.reconcile(old, new, *given, ["id"]), "id")]
+    assert got == ["1", "2", "4b", "none", "stub", "stub2"]
+    assert [r[0] for r in rows(build.reconcile(old, new, *given, ["id"], under="a"), "id")] == ["1", "2", "4b", "6", "7", "none", "stub", "stub2"]
+    assert rows(build.reconcile(old, old.limit(0), paths(), paths(), paths(), ["id"]), "id") == [("none",), ("stub",), ("stub2",)]

@@ -115,6 +115,21 @@ def incremental_merge(old: DataFrame, new: DataFrame, deleted: DataFrame, key: s
     return old.join(gone, key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
+def reconcile(old: DataFrame, new: DataFrame, rebuilt: DataFrame, collected: DataFrame, present: DataFrame, keys: list[str], under: str = "") -> DataFrame:
+    """old with new in place of the rows of rebuilt sources, and without those of sources that are gone.
+
+    rebuilt, collected, present: source_file of what was read anew, what a scan takes now, and what is on disk. A source that
+    is no longer collected is gone only if it isn't on disk either: one that is merely excluded keeps its rows. Only sources
+    below the folder `under` can be gone. Rows without a source stay, unless new has their keys.
+    """
+    known = old.where("source_file <> ''").select("source_file").distinct()
+    known = known.where(F.col("source_file").startswith(under.rstrip("/") + "/")) if under else known
+    gone = known.join(collected.select("source_file"), "source_file", "left_anti").join(present.select("source_file"), "source_file", "left_anti")
+    gone = gone.union(rebuilt.where("source_file <> ''").select("source_file")).distinct()
+    kept = old.join(gone, "source_file", "left_anti").join(new.select(*keys), keys, "left_anti")
+    return kept.select(*old.columns).unionByName(new, allowMissingColumns=True)
+
+
 def compose(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The union of two tables; where both have a row of the same keys, the right one's."""
     return left.join(right.select(*keys), keys, "left_anti").select(*left.columns).unionByName(right)

@@ -200,3 +200,13 @@ def stale_sources(spark, d):
 @query("shrink_guard", f"WITH {NODES_SQL}, {_OLD}, {_NEW} SELECT id, source_file FROM old WHERE id NOT IN (SELECT id FROM fresh) AND source_file <> '' AND source_file <> 'sales/orders.py'")
 def shrink_guard(spark, d):
     return V.shrink_guard(*_old_new(spark, d), spark.createDataFrame([("sales/orders.py",)], "source_file string"))
+
+
+@query("reconcile_sources", f"""WITH {FILES_SQL} SELECT 'd' || doc_id AS id, path AS source_file, 'old' AS state FROM files WHERE doc_id % 6 > 0 AND doc_id % 3 < 2
+UNION ALL SELECT 'd' || doc_id, path, 'new' FROM files WHERE doc_id % 12 = 0""")
+def reconcile_sources(spark, d):
+    f = files(spark, d)
+    row = lambda df, state: df.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("path").alias("source_file"), F.lit(state).alias("state"))
+    paths = lambda condition: f.where(condition).select(F.col("path").alias("source_file"))
+    # a third is collected, another third only on disk, the last third gone; half of the first is read anew, half of that empty now
+    return B.reconcile(row(f, "old"), row(f.where("doc_id % 12 = 0"), "new"), paths("doc_id % 6 = 0"), paths("doc_id % 3 = 0"), paths("doc_id % 3 < 2"), ["id"])
