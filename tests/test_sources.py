@@ -58,6 +58,12 @@ def test_entities(spark):
     assert got == {"n2": "n0"}
 
 
+def test_sources_that_no_parser_takes_keep_their_node(spark):
+    texts = [("deep.py", "x = " + "-" * 20000 + "1"), ("half.json", '{"a\\ud800": 1}'), ("half.py", 'def f():\n    """a long docstring \\ud800 of one line"""\n'), ("ok.py", "def g(): pass\n")]
+    facts = languages.extract(spark.createDataFrame(texts, "path string, text string")).where("kind = 'node'")
+    assert sorted((r["file"], r["label"]) for r in facts.collect()) == [("deep.py", "deep.py"), ("half.json", "a?"), ("half.json", "half.json"), ("half.py", "a long docstring ? of one line"), ("half.py", "f()"), ("half.py", "half.py"), ("ok.py", "g()"), ("ok.py", "ok.py")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.py").write_text("from b import helper\n\nclass A(Base):\n    def go(self):\n        return helper()\n")
