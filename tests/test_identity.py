@@ -65,6 +65,16 @@ def test_classes_use_what_their_file_imports(spark):
     assert rows(identity.uses_of_imports(imports, classes), "source", "target") == [("A", "B"), ("A2", "B"), ("B", "A")]
 
 
+def test_uses_of_imports_once_each_without_a_shuffle_of_pairs(spark):
+    classes = spark.createDataFrame([("A", "a.py", "p.a", "A"), ("A", "a2.py", "p.a", "A"), ("A2", "a.py", "p.a", "A2"), ("A2", "a.py", "p.z", "A2"), (None, "a.py", "p.a", "N"), ("B", "b.py", "p.b", "B")], "id string, file string, module string, symbol string")
+    imports = spark.createDataFrame([("a.py", "p.b", "B"), ("a2.py", "p.b", "B"), ("b.py", "p.a", "A"), ("b.py", "p.a", "A2"), ("b.py", "p.z", "A2")], "file string, module string, symbol string")
+    uses = identity.uses_of_imports(imports, classes)
+    assert sorted((str(r["source"]), r["target"]) for r in uses.collect()) == [("A", "B"), ("A2", "B"), ("B", "A"), ("B", "A2"), ("None", "B")]
+    # all pairs pass one shuffle less than those of classes in several files
+    plan = uses._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any(line.startswith(("Aggregate", "Deduplicate")) for line in plan[:2])
+
+
 def test_unverified_nodes_have_no_name_in_their_text(spark):
     n = [
         ("1", "Run(x)", "code", "a", None), ("2", "Gone.made_up()", "code", "a", "EXTRACTED"), ("3", "Gone", "code", "a", "INFERRED"), ("4", "Gone", "document", "a", ""), ("5", "Gone", "code", "b", ""),

@@ -10,6 +10,8 @@ from weft.functions import vocab
 from weft.operators.build import remap
 from weft.operators.resolve import unique_index
 
+#: Tasks to which the pairs that one file makes are dealt.
+SPREAD = 8
 
 def doc_twins(nodes: DataFrame) -> DataFrame:
     """old, new: the document x and the document x_doc of the same file are one, under the latter id.
@@ -118,8 +120,15 @@ def uses_of_imports(imports: DataFrame, classes: DataFrame) -> DataFrame:
     asked = asked.withColumn("_bare", F.when(F.col("_exact").isNull(), bare(F.col("module")))).join(short, "_bare", "left")
     found = asked.select("file", F.coalesce("_exact", "_by_bare").alias("module"), "symbol").distinct().join(symbols, ["module", "symbol"]).select("file", "target")
     local = classes.select("file", F.col("id").alias("source")).distinct()
-    pairs = local.join(found.distinct(), "file").select("source", "target")
-    return pairs.select("*", F.lit("uses").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("weight")).distinct()
+    homes = local.groupBy("source").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("_n"))
+    several = local.join(homes.where("_n > 1").select(F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")), "left_semi")
+    # few classes and imports make many pairs: each file's are dealt to SPREAD tasks, and only those of a class in several files
+    # can be equal and need a shuffle
+    parts = SPREAD * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = found.distinct().select("file", "target", F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("_p")).repartition(parts, "file", "_p")
+    meet = lambda c: c.select("file", "source", F.pmod(F.xxhash64("source"), F.lit(SPREAD)).cast("int").alias("_p")).repartition(parts, "file", "_p").join(places, ["file", "_p"]).select("source", "target")
+    pairs = meet(homes.where("_n = 1")).union(meet(several).distinct())
+    return pairs.select("*", F.lit("uses").alias("relation"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("weight"))
 
 
 def rekeyed_ids(nodes: DataFrame) -> DataFrame:
