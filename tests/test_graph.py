@@ -207,3 +207,24 @@ def test_lessons(spark):
     assert rows(got, "node", "score", "pos", "neg", "status") == [("a", 1.5, 2, 0, "preferred"), ("b", 0.0, 1, 1, "contested even"), ("c", 1.0, 1, 0, "tentative")]
     assert memory.last_by_question(mem).first()["doc_id"] == 5
     assert rows(memory.provenance(mem), "node", "docs") == [("a", [2, 1]), ("b", [4]), ("c", [5])]
+
+
+def test_questions_look_for_a_kind_only_if_it_can_be_among_the_first(spark):
+    names = [f"{g}{i}" for g in "ab" for i in range(7)] + ["c0"]
+    links = [(x, y, "INFERRED" if "2" in x + y else "EXTRACTED") for x in names for y in names if x < y and x[0] == y[0]] + [("a0", "b0", "EXTRACTED"), ("a1", "a2", "AMBIGUOUS"), ("b1", "b3", "AMBIGUOUS"), ("b0", "c0", "EXTRACTED")]
+    nodes = spark.createDataFrame([(n, n.upper(), "code", f"{n}.py") for n in names], "id string, label string, file_type string, source_file string")
+    edges = spark.createDataFrame([(x, y, "calls", c) for x, y, c in links], "source string, target string, relation string, confidence string")
+    cs = spark.createDataFrame([(n, 0 if n[0] == "a" else 1) for n in names], "node_id string, community int")
+    asked = []
+
+    def between():
+        asked.append(1)
+        return community.betweenness(nodes, edges)
+
+    whole = [tuple(r) for r in analyze.suggest_questions(nodes, edges, cs, 100, community.betweenness(nodes, edges)).collect()]
+    kinds = list(dict.fromkeys(r[0] for r in whole))
+    assert kinds == ["ambiguous_edge", "bridge_node", "verify_inferred", "isolated_nodes"] and [r[2] for r in whole[:4]] == ["a1 a2", "b1 b3", "a0", "b0"]
+    for n in range(1, len(whole) + 1):
+        asked.clear()
+        assert [tuple(r) for r in analyze.suggest_questions(nodes, edges, cs, n, between).collect()] == whole[:n]
+        assert len(asked) == (n > 2)

@@ -113,7 +113,7 @@ class Engine:
         return analyze.bridges(self.nodes, self.edges, self.communities).select("source", "target", "relation", "confidence", F.lit(0).alias("score")).limit(n)
 
     def questions(self, n: int = 7) -> DataFrame:
-        return analyze.suggest_questions(self.nodes, self.edges, self.communities, n, community.betweenness(self.nodes, self.edges))
+        return analyze.suggest_questions(self.nodes, self.edges, self.communities, n, lambda: community.betweenness(self.nodes, self.edges))
 
     def deduplicate(self) -> Engine:
         """The graph with similar entities merged."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.functions import vocab
 from weft.operators import degree as D
+from weft.runtime import materialize
 
 CONFIDENCE_ORDER = {"AMBIGUOUS": 0, "INFERRED": 1, "EXTRACTED": 2}
 
@@ -88,24 +91,35 @@ def verify_questions(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFr
     return best.join(inferred, "id").select(F.lit("verify_inferred").alias("type"), question.alias("question"), F.col("id").alias("about"))
 
 
-def suggest_questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame, n: int = 7, between: DataFrame | None = None) -> DataFrame:
-    """The first n questions by kind, then by what they are about; a row of type no_signal where there are none."""
-    kinds = [ambiguous_questions(nodes, edges), verify_questions(nodes, edges), isolated_questions(nodes, edges), low_cohesion_questions(edges, communities)]
+def bridge_questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame, between: DataFrame) -> DataFrame:
+    """Of the three entities with the largest scores above 0 in between (id, score): those with a neighbour in another community."""
+    entities = D.with_degree(nodes, edges).where(~D.is_file_node() & ~D.is_concept_node()).select("id", "label")
+    named = between.where("score > 0").join(entities, "id").orderBy(F.desc("score"), "id").limit(3)
+    links = D.pairs(edges)
+    links = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    at = lambda node, name: communities.select(F.col("node_id").alias(node), F.col("community").alias(name))
+    across = links.join(at("id", "_c1"), "id", "left").join(at("other", "_c2"), "other", "left").where("NOT _c1 <=> _c2").select("id")
+    named = named.join(across, "id", "left_semi")
+    return named.select(F.lit("bridge_node").alias("type"), F.concat(F.lit("Why does `"), "label", F.lit("` connect so much of the graph?")).alias("question"), F.col("id").alias("about"))
+
+
+def suggest_questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame, n: int = 7, between: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The first n questions by kind, then by what they are about.
+
+    A kind is looked for only while there are fewer than n of the kinds before it, as it can't be among the first n otherwise.
+    between: id and score of the nodes, or a function that gives them, which is called if bridges are looked for.
+    """
+    kinds = [lambda: ambiguous_questions(nodes, edges), lambda: verify_questions(nodes, edges), lambda: isolated_questions(nodes, edges), lambda: low_cohesion_questions(edges, communities)]
     if between is not None:
-        entities = D.with_degree(nodes, edges).where(~D.is_file_node() & ~D.is_concept_node()).select("id", "label")
-        named = between.where("score > 0").join(entities, "id").orderBy(F.desc("score"), "id").limit(3)
-        links = D.pairs(edges)
-        links = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
-        at = lambda node, name: communities.select(F.col("node_id").alias(node), F.col("community").alias(name))
-        across = links.join(at("id", "_c1"), "id", "left").join(at("other", "_c2"), "other", "left").where("NOT _c1 <=> _c2").select("id")
-        named = named.join(across, "id", "left_semi")
-        bridge = named.select(F.lit("bridge_node"), F.concat(F.lit("Why does `"), "label", F.lit("` connect so much of the graph?")), "id")
-        kinds.insert(1, bridge)
-    found = None
-    for place, rows in enumerate(kinds):
-        rows = rows.withColumn("place", F.lit(place))
+        kinds.insert(1, lambda: bridge_questions(nodes, edges, communities, between() if callable(between) else between))
+    found, many = None, 0
+    for place, kind in enumerate(kinds):
+        rows = materialize(kind().withColumn("place", F.lit(place)).orderBy("about", "question").limit(n - many), "questions")
         found = rows if found is None else found.union(rows)
-    return found.orderBy("place", "about").limit(n).select("type", "question", "about")
+        many += rows.count()
+        if many >= n:
+            break
+    return found.orderBy("place", "about", "question").limit(n).select("type", "question", "about")
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -61,7 +61,7 @@ def questions_verify_inferred(spark, d):
 @query("suggest_questions")
 def suggest_questions(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
-    return A.suggest_questions(n, e, communities(spark, d), between=C.betweenness(n, e))
+    return A.suggest_questions(n, e, communities(spark, d), between=lambda: C.betweenness(n, e))
 
 
 @query("communities")
