@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,47 @@ def test_questions_look_for_a_kind_only_if_it_can_be_among_the_first(spark):
         asked.clear()
         assert [tuple(r) for r in analyze.suggest_questions(nodes, edges, cs, n, between).collect()] == whole[:n]
         assert len(asked) == (n > 2)
+
+
+def test_searches_from_the_side_with_fewer_links(monkeypatch):
+    monkeypatch.setattr(community, "NEAR_LINKS", 5)
+    r = random.Random(5)
+    shapes = [[(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 20)] + [(i, i + 20) for i in range(1, 15)], [(r.randrange(25), r.randrange(25)) for _ in range(60)], [(r.randrange(40), r.randrange(40)) for _ in range(35)]]
+    for links in shapes:
+        n = 41  # some have no links
+        links = sorted({(min(x), max(x)) for x in links if x[0] != x[1]})
+        keys = np.array([a << 32 | b for a, b in links])
+        starts, to = community._adjacency((community._packed(x) for x in (keys[:9], keys[9:])), n)
+        near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)}
+        assert [sorted(to[starts[i] : starts[i + 1]]) for i in range(n)] == [sorted(near[i]) for i in range(n)]
+        for s in range(n):
+            hops, ways, order = {s: 0}, {s: 1}, [s]
+            for u in order:
+                for v in near[u]:
+                    if v not in hops:
+                        hops[v] = hops[u] + 1
+                        order.append(v)
+                    if hops[v] == hops[u] + 1:
+                        ways[v] = ways.get(v, 0) + ways[u]
+            want = dict.fromkeys(range(n), 0.0)
+            for v in reversed(order):
+                want[v] = sum(ways[v] / ways[w] * (1 + want[w]) for w in near[v] if hops[w] == hops[v] + 1)
+            want[s] = 0.0
+            got = np.zeros(n)
+            community._shares(starts, to, s, got)
+            assert np.allclose(got, [want[i] for i in range(n)], rtol=1e-12)
+
+
+def test_betweenness_tells_names_with_one_hash_apart(spark, monkeypatch):
+    nodes = spark.createDataFrame([(x,) for x in ("a", "b", "cc", "dd", "e")], "id string")
+    edges = spark.createDataFrame([("a", "b", "r"), ("b", "cc", "r"), ("cc", "dd", "r"), ("dd", "elsewhere", "r")], "source string, target string, relation string")
+    want = rows(community.betweenness(nodes, edges), "id", "score")
+    key, tried = community._key, []
+
+    def poor(seed, name):
+        tried.append(seed)
+        return key(seed, name) if seed else F.length(name).cast("long")
+
+    monkeypatch.setattr(community, "_key", poor)
+    assert rows(community.betweenness(nodes, edges), "id", "score") == want and tried[:2] == [0, 1]
+    assert [i for i, score in want if score > 0] == ["b", "cc", "dd"]

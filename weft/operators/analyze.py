@@ -93,10 +93,11 @@ def verify_questions(nodes: DataFrame, edges: DataFrame, top: int = 5) -> DataFr
 
 def bridge_questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame, between: DataFrame) -> DataFrame:
     """Of the three entities with the largest scores above 0 in between (id, score): those with a neighbour in another community."""
-    entities = D.with_degree(nodes, edges).where(~D.is_file_node() & ~D.is_concept_node()).select("id", "label")
-    named = between.where("score > 0").join(entities, "id").orderBy(F.desc("score"), "id").limit(3)
-    links = D.pairs(edges)
-    links = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    # a node between others has two neighbours at least, and that is all that is_file_node asks of its degree
+    entities = nodes.withColumn("degree", F.lit(2)).where(~D.is_file_node() & ~D.is_concept_node()).select("id", "label")
+    named = F.broadcast(materialize(between.where("score > 0").join(entities, "id").orderBy(F.desc("score"), "id").limit(3), "bridges"))
+    links = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).union(edges.select("target", "source"))
+    links = links.join(named.select("id").distinct(), "id").distinct()
     at = lambda node, name: communities.select(F.col("node_id").alias(node), F.col("community").alias(name))
     across = links.join(at("id", "_c1"), "id", "left").join(at("other", "_c2"), "other", "left").where("NOT _c1 <=> _c2").select("id")
     named = named.join(across, "id", "left_semi")
